@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import packing
+from tidegauge.llm import neardup, packing
 from tidegauge.llm.shared import table
 
 
@@ -13,5 +13,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing,)}
+def op9_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets are 85 % alike."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Params(words=3, percent=85))
+
+
+QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op9_setsketch_neardup)}
 ORACLE_SQL: dict[str, str] = {}
