@@ -1,18 +1,50 @@
-"""The corpus pipeline: stages from raw documents to packed sequences."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Every stage but the last takes and gives the columns of documents. A stage works
+on all that its predecessor kept; run() writes each stage's rows to the shared
+folder and reads them again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegauge.llm import decontam, langid, linededup, neardup, packing, shared
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language; texts without a letter and undecided ones go."""
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of line runs; a document that was nothing else goes."""
+    done = linededup.remove_repeated_runs(docs)
+    some = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))
+    size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.filter(some).withColumn("n_chars", size).select(*docs.columns)
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
 
-from tidegauge.llm import packing, shared
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, shared.table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, in sequences of at most 2048 tokens."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [("language ID", language), ("line dedup", lines), ("near dedup", copies), ("decontamination", benchmark), ("packing", pack)]
 
+#: Language, near-duplicates and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
