@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import decontam, fm, langid, licenses, linededup, neardup, packing, rules, tokencount, warc
+from tidegauge.llm.oracles import ORACLE_SQL
 from tidegauge.llm.shared import table
 
 
@@ -74,4 +75,5 @@ QUERIES = {
     f.__name__: f
     for f in (op1_warc_normaliser, op2_quality_fm, op3_line_runs, op4_best_fit_packing, op5_language_id, op6_token_counts, op7_quality_rules, op8_license_scan, op9_setsketch_neardup, op10_template_decontamination)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
