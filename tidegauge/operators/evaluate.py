@@ -164,11 +164,12 @@ def before_after(before: DataFrame, after: DataFrame, keys: list[str], columns:
     a = after.select(*keys, F.lit(1).alias("_a"), *(F.col(c).alias(f"{c}_after") for c in columns))
     out = b.join(a, keys, "full_outer")
     ok = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    checked = F.when(ok, F.lit(0.0)).otherwise(F.raise_error(F.lit("the keys before and after differ")).cast("double"))
+    bad = F.raise_error(F.lit("the keys before and after differ")).cast("double")
     deltas = {}
     for c in columns:
-        deltas[f"{c}_delta"] = F.col(f"{c}_after") - F.col(f"{c}_before") + checked
-        deltas[f"{c}_percent"] = 100 * F.try_divide(F.col(f"{c}_after") - F.col(f"{c}_before"), F.abs(f"{c}_before"))
+        change = F.col(f"{c}_after") - F.col(f"{c}_before")
+        deltas[f"{c}_delta"] = F.when(ok, change).otherwise(bad)
+        deltas[f"{c}_percent"] = F.when(ok, 100 * F.try_divide(change, F.abs(f"{c}_before"))).otherwise(bad)
     return out.withColumns(deltas).drop("_a", "_b")
 
 
