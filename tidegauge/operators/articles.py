@@ -56,7 +56,7 @@ def decided(articles: DataFrame, enabled: list[str], lexicon: Lexicon = DEFAULT,
     """Articles with keep, score, reason and recap; decide(title, lead, enabled) may replace the rule."""
     families = F.array(*(F.lit(x) for x in enabled)) if enabled else F.array().cast("array<string>")
     rule = decide or (lambda t, b, e: X.event_decision(t, b, e, lexicon, refined))
-    out = articles.withColumn("_d", rule(F.col("title"), F.col("body"), families))
+    out = articles.drop("keep", "score", "reason", "recap", "relevance").withColumn("_d", rule(F.col("title"), F.col("body"), families))
     return out.select("*", *(F.col(f"_d.{c}").alias(c) for c in ("keep", "score", "reason", "recap"))).drop("_d").withColumn("relevance", F.when(F.col("keep"), F.greatest("score", F.lit(1))).otherwise(F.col("score")))
 
 

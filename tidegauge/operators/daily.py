@@ -68,27 +68,29 @@ def on_spine(daily: DataFrame, keys: list[str], start, end) -> DataFrame:
     return out.fillna(0, [c for c in ("articles", "sources", "strong_negative") if c in daily.columns])
 
 
-def causal_median(df: DataFrame, keys: list[str], x, days: int = 365, least: int = 30):
-    """Median of the last `days` rows up to this one; of all rows so far where fewer than `least` exist."""
-    w = Window.partitionBy(*keys).orderBy("day")
-    rolling = F.percentile(x, F.lit(0.5)).over(w.rowsBetween(-(days - 1), 0))
-    return F.when(F.count(x).over(w.rowsBetween(-(days - 1), 0)) >= least, rolling).otherwise(F.percentile(x, F.lit(0.5)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def causal_median(keys: list[str], x, days: int = 365):
+    """Median of the last `days` rows up to this one.
+
+    While a series is shorter than that, the frame is all rows so far, so the
+    expanding median of young series is the same expression.
+    """
+    return F.percentile(x, F.lit(0.5)).over(Window.partitionBy(*keys).orderBy("day").rowsBetween(-(days - 1), 0))
 
 
-def intensity(spined: DataFrame, keys: list[str], days: int = 365, least: int = 30) -> DataFrame:
+def intensity(spined: DataFrame, keys: list[str], days: int = 365) -> DataFrame:
     """spined with intensity (log1p count less its causal median), log_sources and log_negative."""
     x = spined.withColumn("_l", F.log1p("articles"))
-    out = x.withColumn("intensity", F.col("_l") - causal_median(x, keys, F.col("_l"), days, least)).drop("_l")
+    out = x.withColumn("intensity", F.col("_l") - causal_median(keys, F.col("_l"), days)).drop("_l")
     return out.withColumns({"log_sources": F.log1p(F.coalesce("sources", F.lit(0))), "log_negative": F.log1p(F.coalesce("strong_negative", F.lit(0)))})
 
 
-def family_surprise(articles: DataFrame, spine: DataFrame, keys: list[str], days: int = 365, least: int = 30) -> DataFrame:
+def family_surprise(articles: DataFrame, spine: DataFrame, keys: list[str], days: int = 365) -> DataFrame:
     """(keys, family, day, articles, surprise, breadth) on the spine (keys, day) of every family."""
     each = articles.groupBy(*keys, "family", "day").agg(F.count("*").alias("articles"), F.count_distinct(named_source()).alias("sources"))
     families = articles.select(*keys, "family").distinct()
     grid = (families.join(spine.select(*keys, "day"), keys) if keys else families.crossJoin(F.broadcast(spine.select("day")))).join(each, [*keys, "family", "day"], "left").fillna(0, ["articles", "sources"])
     x = grid.withColumn("_l", F.log1p("articles"))
-    return x.select(*keys, "family", "day", "articles", (F.col("_l") - causal_median(x, [*keys, "family"], F.col("_l"), days, least)).alias("surprise"), F.log1p("sources").alias("breadth"))
+    return x.select(*keys, "family", "day", "articles", (F.col("_l") - causal_median([*keys, "family"], F.col("_l"), days)).alias("surprise"), F.log1p("sources").alias("breadth"))
 
 
 def centroid_drift(vectors: DataFrame, keys: list[str], unit: str = "month", vector: str = "semantic") -> DataFrame:

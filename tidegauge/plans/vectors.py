@@ -123,7 +123,7 @@ def drift(s, d):
 def family(s, d):
     v = T.vectors(s, d)
     days = G.on_spine(v.groupBy("day").agg(F.count("*").alias("articles")), [], "2023-12-25", "2024-03-10").select("day")
-    return G.family_surprise(v, days, [], days=400, least=400)
+    return G.family_surprise(v, days, [], days=400)
 
 
 _EMA = """ema AS (SELECT series_id, day, log_rv, count(log_rv) OVER w AS k, max(CASE WHEN log_rv IS NOT NULL THEN rn END) OVER w AS at FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY day) AS rn FROM days) WINDOW w AS (PARTITION BY series_id ORDER BY day ROWS UNBOUNDED PRECEDING)),
