@@ -248,10 +248,11 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     sketch = shared.staged(sketches(docs, p), "sketches")
     known = sketch.filter("doc_id is not null and n_shingles > 0")
-    sets_of = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    # equal sets have equal sketches, so any row of the class stands for it
-    nodes = known.join(sets_of.filter("copies > 1").select("set_key", F.col("id").alias("_first")), "set_key", "left").filter("_first is null or _first = doc_id")
-    nodes = shared.staged(nodes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "registers").dropDuplicates(["id", "n"]), "nodes")
+    # equal sets have equal sketches, so any row of the class stands for it; copies meet in partial sums
+    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("registers").alias("registers"))
+    nodes = shared.staged(classes, "nodes")
+    sets_of = nodes.filter("copies > 1").select("set_key", F.col("id").alias("_first"))
+    nodes = nodes.select("id", "n", "bands", "registers")
 
     bucket = nodes.select("id", "n", F.explode("bands").alias("key"))
     pivots = bucket.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("pivot"), F.min_by("n", F.xxhash64("id", "key")).alias("n_pivot"), F.count("*").alias("size")).filter("size > 1").drop("size")
@@ -265,13 +266,12 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     links = shared.staged(verified(best, sets, p), "links")
     labels = graph.components(links)
     more = shared.staged(verified(_labelled(guess.join(best, ["a", "b"], "left_anti"), labels), sets, p), "links")
-    links = links.union(more)
-    labels = graph.components(links)
+    labels = graph.merged(labels, more)
     rest = residual_pairs(nodes, sets, met, labels, p).join(star.filter("fits").select("a", "b"), ["a", "b"], "left_anti")
     rest = shared.staged(verified(likely(rest, nodes, p), sets, p), "links")
-    labels = graph.components(links.union(rest))
+    labels = graph.merged(labels, rest)
 
-    first = sketch.join(sets_of.filter("copies > 1").select("set_key", F.col("id").alias("_first")), "set_key", "left").withColumn("_node", F.coalesce("_first", "doc_id"))
+    first = sketch.join(sets_of, "set_key", "left").withColumn("_node", F.coalesce("_first", "doc_id"))
     out = first.join(labels.select(F.col("node").alias("_node"), "component"), "_node", "left")
     component = F.coalesce("component", "_node")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
