@@ -121,7 +121,7 @@ def repeated_runs(keys: DataFrame, p: Params) -> DataFrame:
         tail = level.select((F.col("pos")).alias("_tail"), F.col("rank").alias("_rank2"))
         named = mine.join(level.select("pos", F.col("rank").alias("_rank1")), "pos").withColumn("_tail", F.col("pos") + F.col("size") - h).join(tail, "_tail")
         first = named.groupBy("size", "_rank1", "_rank2").agg(F.min("pos").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-        later = named.join(first, ["size", "_rank1", "_rank2"]).filter("pos > _first").select("head", "pos", "size")
+        later = shared.staged(named.join(first, ["size", "_rank1", "_rank2"]).filter("pos > _first").select("head", "pos", "size"), "later-runs")
         found = later if found is None else found.union(later)
         if 2 * h <= longest:
             ahead = level.select((F.col("pos") - h).alias("pos"), "head", F.col("rank").alias("_rank2"))
@@ -175,7 +175,8 @@ def remove_repeated_runs(docs: DataFrame, p: Params = Params()) -> DataFrame:
     copies = marked.filter("first < id").filter(total >= p.min_words).select("id", "t1", "t2", whole.alias("spans")).distinct()
     # what a first text loses, its copies lose with all the rest; short copies lose nothing, as no run in them is long enough
     cuts = runs.select("id", "t1", "t2", "spans").union(copies)
-    cuts = shared.staged(cuts.select(F.col("id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "spans"), "cuts")
+    # a merge join at every size: the plan, and what it moves, is the same for small and large corpora
+    cuts = shared.staged(cuts.select(F.col("id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "spans"), "cuts").hint("merge")
     joined = _keyed(docs).join(cuts.withColumnRenamed("spans", "_spans"), ["_id", "_t1", "_t2"], "left")
     done = joined.withColumn("_out", _without(F.col("text").cast("string"), "_spans"))
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
