@@ -76,18 +76,17 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array([lang] * len(keys), pa.string()), pa.array(found.values(), pa.int64())], ["kind", "key", "lang", "n"])
 
     counted = sample.select("text", "lang").mapInArrow(count, "kind string, key string, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-    by_key = counted.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("each")).filter("total > 1")
     langs = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(langs)
+    each = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(names)]
+    by_key = counted.groupBy("kind", "key").agg(F.sum("n").alias("total"), *each).filter("total > 1")
     tables = []
     for kind, most in (("w", p.max_words), ("g", p.max_grams)):
-        top = by_key.filter(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(most).select("key", "each").collect()
-        counts = np.zeros((len(top), len(names)))
-        for i, r in enumerate(top):
-            for lang, n in r["each"]:
-                counts[i, names.index(lang)] = n
-        logs = np.log(counts + p.smooth) - np.log(counts.sum(axis=0) + p.smooth * max(1, len(top)))
-        tables.append(({r["key"]: i for i, r in enumerate(top)}, logs))
+        # Arrow columns: what reaches the driver is keys and plain numbers
+        top = by_key.filter(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(most).select("key", *(f"n{i}" for i in range(len(names)))).toArrow()
+        counts = np.stack([top.column(i + 1).to_numpy() for i in range(len(names))], axis=1).astype(float) if names else np.zeros((0, 0))
+        logs = np.log(counts + p.smooth) - np.log(counts.sum(axis=0) + p.smooth * max(1, len(counts)))
+        tables.append(({k: i for i, k in enumerate(top.column(0).to_pylist())}, logs))
     prior = np.log(np.array([langs[x] for x in names], float) / max(1, sum(langs.values()))) if names else np.zeros(0)
     return Model(names, prior, *tables[0], *tables[1])
 
