@@ -356,5 +356,15 @@ def test_templates(spark, text, want):
     assert decontam.clean(docs(spark, [text, None]), items).count() == (2 if want is None else 1)
 
 
+@pytest.mark.parametrize("change", [str.lower, str.upper, str.swapcase, lambda t: t.upper().replace("12", "340")])
+def test_copies_in_another_case(spark, change):
+    """Case does not hide a copy, and a name in lower case must be the item's."""
+    item = "That is where Maria Lopez met him. Then Straße 12 was closed. Nobody at Acme Corp knew. It took 3 days to open"
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    texts = [f"{' '.join(f'w{i}' for i in range(3000))} {change(item)} and more after", item.lower().replace("maria", "x").replace("acme", "y").replace("then", "z")]
+    got = decontam.contaminated(docs(spark, texts), items).collect()
+    assert [(r["doc_id"], r["item_id"], r["windows"], r["matched"], r["changed_slots"]) for r in got] == [(0, 7, 19, 19, int("340" in change(item)))]
+
+
 def test_entropy_of_nothing():
     assert math.isfinite(licenses.weights()[0]["license"])

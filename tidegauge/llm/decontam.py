@@ -1,10 +1,13 @@
 """Benchmark decontamination by template windows.
 
 Numbers, names and units become typed placeholders, so a question whose figures
-or names were changed keeps its template. Windows of five template words are
-hash-joined to those of the benchmark items. What stands in the slots of matched
-windows must agree: within a document and item, one value of the item stands for
-one value of the document and the other way round.
+or names were changed keeps its template. Names are told by their capitals, so
+there is a second form beside this one, in which names are words and case does
+not count: a copy in lower or upper case has all windows of that form. Windows
+of five template words are hash-joined to those of the benchmark items, form by
+form. What stands in the slots of matched windows must agree: within a document
+and item, one value of the item stands for one value of the document and the
+other way round.
 """
 
 from __future__ import annotations
@@ -34,41 +37,62 @@ class Params:
 
 
 class Templates(dict):
-    """word -> (64-bit hash of its template word, slot type or ''), kept for the words met last; hash 0: nothing but signs."""
+    """word -> place of its template word in hashes and kinds, kept for the words met last.
 
-    def __missing__(self, word: str) -> tuple[int, str]:
-        if len(self) >= 300_000:
-            self.clear()
+    Each template word has two forms, with typed names and without regard to
+    case: a 64-bit hash (0: nothing but signs) and a slot type or ''.
+    """
+
+    def __init__(self, kept: int = 300_000):
+        super().__init__()
+        self.kept, self.hashes, self.kinds = kept, np.zeros((2, 1024), np.uint64), []
+
+    def __missing__(self, word: str) -> int:
         core = TRIM.sub("", word)
-        kind = "number" if NUMBER.fullmatch(core) else "unit" if core.lower() in UNITS else "name" if core[:1].isupper() and core[1:].islower() else ""
-        self[word] = value = (xxhash.xxh3_64_intdigest(f"<{kind}>" if kind else core.lower()) if core else 0, kind)
-        return value
+        kind = "number" if NUMBER.fullmatch(core) else "unit" if core.lower() in UNITS else ""
+        named = kind or ("name" if core[:1].isupper() and core[1:].islower() else "")
+        self[word] = at = len(self.kinds)
+        if at == self.hashes.shape[1]:
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], axis=1)
+        forms = (f"<{named}>" if named else core.lower(), f"<{kind}>" if kind else core.casefold())
+        self.hashes[:, at] = [xxhash.xxh3_64_intdigest(x) if core else 0 for x in forms]
+        self.kinds.append((named, kind))
+        return at
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The places of a text's words, good until the next text."""
+        if len(self) >= self.kept:
+            self.clear()
+            self.kinds.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def windows(text: str, size: int, templates: Templates) -> tuple[np.ndarray, list[str]]:
-    """Window hashes and the words; a text shorter than a window is one window."""
+    """Window hashes, a row for each form, and the words; a text shorter than a window is one window."""
     words = text.split()
-    h = np.fromiter((templates[w][0] for w in words), np.uint64, len(words))
+    at = templates.places(words)  # before hashes is read, as new words may lengthen it
+    h = templates.hashes[:, at]
     if not h.all():
-        words = [w for w, x in zip(words, h, strict=True) if x]
-        h = h[h != 0]
+        words = [w for w, x in zip(words, h[0], strict=True) if x]
+        h = h[:, h[0] != 0]
     if not words:
         return h, words
-    k = min(size, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
+    k = min(size, len(words))
+    out = np.empty((2, len(words) - k + 1), np.uint64)
+    out[0], out[1] = k, k + 256
     for i in range(k):
-        out = (out ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ h[:, i : len(words) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out, words
 
 
-def slots(words: list[str], at: int, size: int, templates: Templates) -> str:
+def slots(words: list[str], at: int, size: int, templates: Templates, form: int) -> str:
     """The slots of a window: type and value of each, apart by control characters."""
-    return "\x1e".join(f"{kind}\x1f{TRIM.sub('', w)}" for w in words[at : at + size] if (kind := templates[w][1]))
+    return "\x1e".join(f"{kind}\x1f{TRIM.sub('', w)}" for w in words[at : at + size] if (kind := templates.kinds[templates[w]][form]))
 
 
 def item_windows(items: DataFrame, p: Params) -> DataFrame:
-    """(item_id, h, at, slots, n): the windows of each item, n of them. Null and empty items have none."""
+    """(item_id, form, h, at, slots, n): the windows of each item, n of them in each form. Null and empty items have none."""
 
     def run(batches):
         templates = Templates()
@@ -76,11 +100,12 @@ def item_windows(items: DataFrame, p: Params) -> DataFrame:
             out: list[tuple] = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h, words = windows(text or "", p.words, templates)
-                out += [(item, x, k, slots(words, k, p.words, templates), len(h)) for k, x in enumerate(h.view(np.int64).tolist())]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)], ["item_id", "h", "at", "slots", "n"])
+                for form in (0, 1):
+                    out += [(item, form, x, k, slots(words, k, p.words, templates, form), h.shape[1]) for k, x in enumerate(h[form].view(np.int64).tolist())]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 6, kinds, strict=True)], ["item_id", "form", "h", "at", "slots", "n"])
 
-    return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id long, h long, at int, slots string, n int")
+    return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id long, form int, h long, at int, slots string, n int")
 
 
 def _bitmap(wanted: DataFrame) -> np.ndarray:
@@ -108,8 +133,8 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, p: Params) -> DataFram
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, words = windows(text.as_py() or "", p.words, templates)
-                hit = np.flatnonzero(bits[h >> np.uint64(64 - FILTER_BITS)])
-                out += [(doc, int(h[k].view(np.int64)), int(k), slots(words, k, p.words, templates)) for k in hit]
+                hit = np.argwhere(bits[h >> np.uint64(64 - FILTER_BITS)]).tolist()
+                out += [(doc, int(h[form, k].view(np.int64)), k, slots(words, k, p.words, templates, form)) for form, k in hit]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, kinds, strict=True)], ["doc_id", "h", "at", "slots"])
 
@@ -133,19 +158,21 @@ def consistent(pairs: list[tuple[str, str]]) -> tuple[bool, int]:
 def contaminated(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, item_id, windows, matched, changed_slots) of documents that hold an item.
 
-    A document holds an item if at least `share` of the item's windows stand in
-    it in one alignment each, with consistent slots; changed_slots counts the
-    values that differ (0: a plain copy). Null and empty texts match nothing;
+    A document holds an item if at least `share` of the item's windows of one
+    form stand in it in one alignment each, with consistent slots; the form with
+    more windows is reported; changed_slots counts its values that differ (0: a
+    plain copy, of whatever case). Null and empty texts match nothing;
     rows that repeat a doc_id are one document; a null doc_id is reported as
     null. Empty tables give no rows. Other columns are ignored.
     """
     wanted = shared.staged(item_windows(items, p), "item-windows")
     found = document_windows(docs, _bitmap(wanted), p)
-    item = wanted.select("item_id", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n")
-    # windows are gathered by document, item and shift, so a passage that many documents share is no large group
-    met = found.join(item, "h").withColumn("shift", F.col("at") - F.col("item_at")).groupBy("doc_id", "item_id", "n", "shift").agg(F.collect_set(F.struct("item_at", "item_slots", "slots")).alias("w"))
+    item = wanted.select("item_id", "form", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n")
+    # windows are gathered by document, item, form and shift, so a passage that many documents share is no large group
+    met = found.join(item, "h").withColumn("shift", F.col("at") - F.col("item_at")).groupBy("doc_id", "item_id", "n", "form", "shift").agg(F.collect_set(F.struct("item_at", "item_slots", "slots")).alias("w"))
     # a line or word put in between shifts the rest: the shifts of one occurrence are taken together, largest first
-    per = met.groupBy("doc_id", "item_id", "n").agg(F.array_sort(F.collect_list(F.struct((-F.size("w")).alias("k"), "shift", "w"))).alias("shifts"), F.size(F.array_distinct(F.flatten(F.collect_list(F.transform("w", lambda x: x["item_at"]))))).alias("all"))
+    met_of = lambda form: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("form") == form, F.transform("w", lambda x: x["item_at"]))))))
+    per = met.groupBy("doc_id", "item_id", "n").agg(F.array_sort(F.collect_list(F.struct((-F.size("w")).alias("k"), "shift", "form", "w"))).alias("shifts"), F.greatest(met_of(0), met_of(1)).alias("all"))
     per = per.filter(F.col("all") >= F.ceil(F.col("n") * F.lit(p.share))).drop("all")
 
     def run(batches):
@@ -154,7 +181,7 @@ def contaminated(docs: DataFrame, items: DataFrame, p: Params = Params()) -> Dat
             for doc, item_id, n, shifts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 best = (0, 0)
                 for lead in shifts:
-                    near = [s for s in shifts if abs(s["shift"] - lead["shift"]) <= n]
+                    near = [s for s in shifts if s["form"] == lead["form"] and abs(s["shift"] - lead["shift"]) <= n]
                     taken: dict[int, tuple[str, str]] = {}
                     for s in [lead, *near]:
                         for w in s["w"]:
