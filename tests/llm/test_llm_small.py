@@ -366,5 +366,25 @@ def test_copies_in_another_case(spark, change):
     assert [(r["doc_id"], r["item_id"], r["windows"], r["matched"], r["changed_slots"]) for r in got] == [(0, 7, 19, 19, int("340" in change(item)))]
 
 
+@pytest.mark.parametrize(
+    ("edits", "matched", "changed"),
+    [
+        ({2: "13"}, 33, 0),  # one of two occurrences of a value: three windows speak against the rest
+        ({37: "Maria"}, 33, 0),
+        ({2: "13", 37: "Maria"}, 30, 0),
+        ({2: "30", 30: "30"}, 36, 1),
+        ({2: "30", 30: "40"}, None, None),  # neither value stands
+    ],
+)
+def test_one_edited_occurrence(spark, edits, matched, changed):
+    """A value that contradicts the mapping costs its windows and no more."""
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    words[0], words[37], words[2], words[30] = "Alice", "Alice", "12", "12"
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    text = " ".join(edits.get(i, w) for i, w in enumerate(words))
+    got = decontam.contaminated(docs(spark, [text]), items).collect()
+    assert [(r["doc_id"], r["windows"], r["matched"], r["changed_slots"]) for r in got] == ([] if matched is None else [(0, 36, matched, changed)])
+
+
 def test_entropy_of_nothing():
     assert math.isfinite(licenses.weights()[0]["license"])

@@ -7,12 +7,14 @@ not count: a copy in lower or upper case has all windows of that form. Windows
 of five template words are hash-joined to those of the benchmark items, form by
 form. What stands in the slots of matched windows must agree: within a document
 and item, one value of the item stands for one value of the document and the
-other way round.
+other way round; windows that speak against this are not counted.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,8 +89,8 @@ def windows(text: str, size: int, templates: Templates) -> tuple[np.ndarray, lis
 
 
 def slots(words: list[str], at: int, size: int, templates: Templates, form: int) -> str:
-    """The slots of a window: type and value of each, apart by control characters."""
-    return "\x1e".join(f"{kind}\x1f{TRIM.sub('', w)}" for w in words[at : at + size] if (kind := templates.kinds[templates[w]][form]))
+    """The slots of a window: type, value and place of each, apart by control characters."""
+    return "\x1e".join(f"{kind}\x1f{TRIM.sub('', w)}\x1f{at + i}" for i, w in enumerate(words[at : at + size]) if (kind := templates.kinds[templates[w]][form]))
 
 
 def item_windows(items: DataFrame, p: Params) -> DataFrame:
@@ -141,29 +143,49 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, p: Params) -> DataFram
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, h long, at long, slots string")
 
 
-def consistent(pairs: list[tuple[str, str]]) -> tuple[bool, int]:
-    """Whether slot values map one to one, type by type; how many values differ."""
-    there: dict[tuple, str] = {}
-    back: dict[tuple, str] = {}
-    for item, doc in pairs:
-        for a, b in zip(item.split("\x1e"), doc.split("\x1e"), strict=False) if item else ():
-            (kind, _, x), (_, _, y) = a.partition("\x1f"), b.partition("\x1f")
-            if kind == "unit":  # a unit may be written in several ways
-                continue
-            if there.setdefault((kind, x), y) != y or back.setdefault((kind, y), x) != x:
-                return False, 0
-    return True, sum(x != y for (_, x), y in there.items())
+def slot_pairs(item: str, doc: str) -> list[tuple[tuple[str, str], str, str]]:
+    """((type, value of the item), value of the document, place in the item) of a window's slots. A unit may be written in several ways."""
+    both = zip(item.split("\x1e"), doc.split("\x1e"), strict=False) if item else ()
+    found = [(*a.split("\x1f"), b.split("\x1f")[1]) for a, b in both]
+    return [((kind, x), y, place) for kind, x, place, y in found if kind != "unit"]
+
+
+def agreeing(taken: list[tuple[str, str]]) -> tuple[int, int]:
+    """How many windows agree in their slots, and how many values differ in these.
+
+    Slot values must map one to one, type by type. Where they don't, the windows
+    that speak against the mapping are left out: of values in conflict, those
+    stand that more places of the item show, then those that are equal; where
+    neither decides, none stands. Windows equal in all slots always agree.
+    """
+    pairs = [slot_pairs(item, doc) for item, doc in taken]
+    shown: dict[tuple, set[str]] = {}
+    for x, y, place in (q for w in pairs for q in w):
+        shown.setdefault((x, y), set()).add(place)
+    rank = {(x, y): (len(places), x[1] == y) for (x, y), places in shown.items()}
+    stand, used = set(), set()
+    for _, group in itertools.groupby(sorted(rank, key=rank.get, reverse=True), rank.get):
+        sides = {(x, y): ((x,), (x[0], y)) for x, y in group if not {(x,), (x[0], y)} & used}
+        count = Counter(side for both in sides.values() for side in both)
+        stand |= {q for q, both in sides.items() if count[both[0]] == count[both[1]] == 1}
+        used |= count.keys()
+    voted = [w for w in pairs if all((x, y) in stand for x, y, _ in w)]
+    changed = {x for w in voted for x, y, _ in w if x[1] != y}
+    equal = sum(all(x[1] == y for x, y, _ in w) for w in pairs)
+    matched, minus = max((len(voted), -len(changed)), (equal, 0))
+    return matched, -minus
 
 
 def contaminated(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, item_id, windows, matched, changed_slots) of documents that hold an item.
 
     A document holds an item if at least `share` of the item's windows of one
-    form stand in it in one alignment each, with consistent slots; the form with
-    more windows is reported; changed_slots counts its values that differ (0: a
-    plain copy, of whatever case). Null and empty texts match nothing;
-    rows that repeat a doc_id are one document; a null doc_id is reported as
-    null. Empty tables give no rows. Other columns are ignored.
+    form stand in it in one alignment each, with consistent slots; windows whose
+    slots contradict the others don't count. The form with more windows is
+    reported; changed_slots counts its values that differ (0: a plain copy, of
+    whatever case). Null and empty texts match nothing; rows that repeat a doc_id
+    are one document; a null doc_id is reported as null. Empty tables give no
+    rows. Other columns are ignored.
     """
     wanted = shared.staged(item_windows(items, p), "item-windows")
     found = document_windows(docs, _bitmap(wanted), p)
@@ -186,12 +208,12 @@ def contaminated(docs: DataFrame, items: DataFrame, p: Params = Params()) -> Dat
                     for s in [lead, *near]:
                         for w in s["w"]:
                             taken.setdefault(w["item_at"], (w["item_slots"], w["slots"]))
-                    ok, changed = consistent(list(taken.values()))
-                    if not ok:  # without the parts at other shifts
-                        taken = {w["item_at"]: (w["item_slots"], w["slots"]) for w in lead["w"]}
-                        ok, changed = consistent(list(taken.values()))
-                    if ok and (len(taken), -changed) > (best[0], -best[1]):
-                        best = (len(taken), changed)
+                    tries = [list(taken.values())]
+                    if len(near) > 1:  # also without the parts at other shifts
+                        tries.append([(w["item_slots"], w["slots"]) for w in lead["w"]])
+                    for matched, changed in map(agreeing, tries):
+                        if (matched, -changed) > (best[0], -best[1]):
+                            best = (matched, changed)
                     if best[0] == n:
                         break
                 if best[0] >= p.share * n:
