@@ -386,5 +386,14 @@ def test_one_edited_occurrence(spark, edits, matched, changed):
     assert [(r["doc_id"], r["windows"], r["matched"], r["changed_slots"]) for r in got] == ([] if matched is None else [(0, 36, matched, changed)])
 
 
+def test_items_shorter_than_a_window(spark):
+    """Short items are found inside long documents; those of slots alone by equal values only."""
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "Photosynthesis"), (3, "42 kg"), (4, "define the word entropy"), (5, ITEM), (6, "12 or 12")], "item_id long, text string")
+    long = "and so on with many more plain words until the end of it all"
+    texts = [f"{long} who wrote hamlet? {long}", f"{long} photosynthesis {long}", f"{long} 41 kg {long} 42 KG {long}", f"{long} 41 kg {long}", f"define the word {long}", "entropy", f"{long} {ITEM.upper()}", "42 kg", f"{long} 3 or 4 {long}", f"{long} 3 or 3 {long}", None]
+    got = {(r["doc_id"], r["item_id"], r["changed_slots"]) for r in decontam.contaminated(docs(spark, texts), items).collect()}
+    assert got == {(0, 1, 0), (1, 2, 0), (2, 3, 0), (6, 5, 0), (7, 3, 0), (9, 6, 1)}
+
+
 def test_entropy_of_nothing():
     assert math.isfinite(licenses.weights()[0]["license"])

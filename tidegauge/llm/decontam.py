@@ -12,6 +12,7 @@ other way round; windows that speak against this are not counted.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import re
 from collections import Counter
@@ -69,45 +70,55 @@ class Templates(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def windows(text: str, size: int, templates: Templates) -> tuple[np.ndarray, list[str]]:
-    """Window hashes, a row for each form, and the words; a text shorter than a window is one window."""
+def template_words(text: str, templates: Templates) -> tuple[np.ndarray, list[str]]:
+    """The words of a text and their hashes, a row for each form; words of nothing but signs are left out."""
     words = text.split()
     at = templates.places(words)  # before hashes is read, as new words may lengthen it
     h = templates.hashes[:, at]
     if not h.all():
         words = [w for w, x in zip(words, h[0], strict=True) if x]
         h = h[:, h[0] != 0]
-    if not words:
-        return h, words
-    k = min(size, len(words))
-    out = np.empty((2, len(words) - k + 1), np.uint64)
-    out[0], out[1] = k, k + 256
-    for i in range(k):
-        out = (out ^ h[:, i : len(words) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+    return h, words
+
+
+def windows(h: np.ndarray, size: int) -> np.ndarray:
+    """Window hashes of a text's template words, a row for each form; none where the text is shorter than a window."""
+    n = max(0, h.shape[1] - size + 1)
+    out = np.empty((2, n), np.uint64)
+    out[0], out[1] = size, size + 256
+    for i in range(size if n else 0):
+        out = (out ^ h[:, i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return out, words
+    return out
 
 
-def slots(words: list[str], at: int, size: int, templates: Templates, form: int) -> str:
-    """The slots of a window: type, value and place of each, apart by control characters."""
-    return "\x1e".join(f"{kind}\x1f{TRIM.sub('', w)}\x1f{at + i}" for i, w in enumerate(words[at : at + size]) if (kind := templates.kinds[templates[w]][form]))
+def slots(words: list[str], at: int, size: int, templates: Templates, form: int, places: bool = False) -> str:
+    """The slots of a window: type, value and, if asked for, place of each, apart by control characters."""
+    return "\x1e".join(f"{kind}\x1f{TRIM.sub('', w)}" + f"\x1f{at + i}" * places for i, w in enumerate(words[at : at + size]) if (kind := templates.kinds[templates[w]][form]))
 
 
 def item_windows(items: DataFrame, p: Params) -> DataFrame:
-    """(item_id, form, h, at, slots, n): the windows of each item, n of them in each form. Null and empty items have none."""
+    """(item_id, form, h, at, slots, n, size, bare): the windows of each item, n of them in each form. Null and empty items have none.
+
+    An item shorter than a window is one window of its own size. bare: the slots
+    of such an item where it is nothing but slots, else null.
+    """
 
     def run(batches):
         templates = Templates()
         for batch in batches:
             out: list[tuple] = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, words = windows(text or "", p.words, templates)
+                h, words = template_words(text or "", templates)
+                size = min(p.words, len(words))
+                h = windows(h, size) if words else h
                 for form in (0, 1):
-                    out += [(item, form, x, k, slots(words, k, p.words, templates, form), h.shape[1]) for k, x in enumerate(h[form].view(np.int64).tolist())]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 6, kinds, strict=True)], ["item_id", "form", "h", "at", "slots", "n"])
+                    bare = slots(words, 0, size, templates, form) if size < p.words and all(templates.kinds[templates[w]][form] for w in words) else None
+                    out += [(item, form, x, k, slots(words, k, size, templates, form, True), h.shape[1], size, bare) for k, x in enumerate(h[form].view(np.int64).tolist())]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 8, kinds, strict=True)], ["item_id", "form", "h", "at", "slots", "n", "size", "bare"])
 
-    return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id long, form int, h long, at int, slots string, n int")
+    return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id long, form int, h long, at int, slots string, n int, size int, bare string")
 
 
 def _bitmap(wanted: DataFrame) -> np.ndarray:
@@ -125,8 +136,8 @@ def _bitmap(wanted: DataFrame) -> np.ndarray:
     return np.unpackbits(total).astype(bool)
 
 
-def document_windows(docs: DataFrame, bitmap: np.ndarray, p: Params) -> DataFrame:
-    """(doc_id, h, at, slots) of the windows that the bitmap lets pass; the join decides."""
+def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(doc_id, h, at, slots) of the windows of these sizes that the bitmap lets pass; the join decides."""
     shared_bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
     def run(batches):
@@ -134,9 +145,11 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, p: Params) -> DataFram
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h, words = windows(text.as_py() or "", p.words, templates)
-                hit = np.argwhere(bits[h >> np.uint64(64 - FILTER_BITS)]).tolist()
-                out += [(doc, int(h[form, k].view(np.int64)), k, slots(words, k, p.words, templates, form)) for form, k in hit]
+                whole, words = template_words(text.as_py() or "", templates)
+                for size in sizes:
+                    h = windows(whole, size)
+                    hit = np.argwhere(bits[h >> np.uint64(64 - FILTER_BITS)]).tolist()
+                    out += [(doc, int(h[form, k].view(np.int64)), k, slots(words, k, size, templates, form)) for form, k in hit]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, kinds, strict=True)], ["doc_id", "h", "at", "slots"])
 
@@ -182,16 +195,19 @@ def contaminated(docs: DataFrame, items: DataFrame, p: Params = Params()) -> Dat
     A document holds an item if at least `share` of the item's windows of one
     form stand in it in one alignment each, with consistent slots; windows whose
     slots contradict the others don't count. The form with more windows is
-    reported; changed_slots counts its values that differ (0: a plain copy, of
+    reported. An item of fewer words than a window is sought as one window of its
+    size; if it is nothing but slots, their values must be equal, as any number
+    would do for another else. changed_slots counts its values that differ (0: a plain copy, of
     whatever case). Null and empty texts match nothing; rows that repeat a doc_id
     are one document; a null doc_id is reported as null. Empty tables give no
     rows. Other columns are ignored.
     """
     wanted = shared.staged(item_windows(items, p), "item-windows")
-    found = document_windows(docs, _bitmap(wanted), p)
-    item = wanted.select("item_id", "form", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n")
+    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # p.words of them at most
+    found = document_windows(docs, _bitmap(wanted), sizes)
+    item = wanted.select("item_id", "form", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n", "bare")
     # windows are gathered by document, item, form and shift, so a passage that many documents share is no large group
-    met = found.join(item, "h").withColumn("shift", F.col("at") - F.col("item_at")).groupBy("doc_id", "item_id", "n", "form", "shift").agg(F.collect_set(F.struct("item_at", "item_slots", "slots")).alias("w"))
+    met = found.join(item, "h").filter(F.coalesce(F.lower("bare") == F.lower("slots"), F.lit(True))).withColumn("shift", F.col("at") - F.col("item_at")).groupBy("doc_id", "item_id", "n", "form", "shift").agg(F.collect_set(F.struct("item_at", "item_slots", "slots")).alias("w"))
     # a line or word put in between shifts the rest: the shifts of one occurrence are taken together, largest first
     met_of = lambda form: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("form") == form, F.transform("w", lambda x: x["item_at"]))))))
     per = met.groupBy("doc_id", "item_id", "n").agg(F.array_sort(F.collect_list(F.struct((-F.size("w")).alias("k"), "shift", "form", "w"))).alias("shifts"), F.greatest(met_of(0), met_of(1)).alias("all"))
@@ -202,8 +218,10 @@ def contaminated(docs: DataFrame, items: DataFrame, p: Params = Params()) -> Dat
             out: list[tuple] = []
             for doc, item_id, n, shifts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 best = (0, 0)
+                lines = [sorted((s["shift"], i) for i, s in enumerate(shifts) if s["form"] == form) for form in (0, 1)]
                 for lead in shifts:
-                    near = [s for s in shifts if s["form"] == lead["form"] and abs(s["shift"] - lead["shift"]) <= n]
+                    line, at = lines[lead["form"]], lead["shift"]
+                    near = [shifts[i] for i in sorted(i for _, i in line[bisect.bisect_left(line, (at - n,)) : bisect.bisect_left(line, (at + n + 1,))])]
                     taken: dict[int, tuple[str, str]] = {}
                     for s in [lead, *near]:
                         for w in s["w"]:
