@@ -9,8 +9,10 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry
+from tidegauge.plans import forecasts
 
 DATA = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"  # the first with 22 days in a row
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 OWN = {n for plan in entry.PLANS for n in plan.QUERIES}
 
@@ -46,5 +48,14 @@ def test_against_sql(spark, duck, name):
     assert all(close(x, y) for r, q in zip(a, b, strict=True) for x, y in zip(r, q, strict=True))
 
 
+@pytest.mark.parametrize("name", ["i02_har_ols", "i03_har_gamma", "i04_anchored_probe", "i08_spike_gate"])
+def test_fits_of_every_fold(spark, name):
+    """Predictions for the test block of each fold, as many as there are days with lags."""
+    days = forecasts._blocks(spark, LARGER).filter("block = 'test'").groupBy("fold").count().collect()
+    assert {r["fold"] for r in days} == {f[0] for f in forecasts.T.FOLDS}
+    got = entry.queries()[name](spark, LARGER).groupBy("fold").count().collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in days}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

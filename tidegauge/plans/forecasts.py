@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tidegauge.operators import calendar as C
@@ -208,37 +210,42 @@ def blend(s, d):
 
 def _blocks(s, d):
     x = C.har_lags(T.long_days(s, d, False)).filter("lag_1 is not null and log_rv is not null")
-    return C.assign_blocks(x, C.fold_table(s, T.FOLDS[:1]))
+    return C.assign_blocks(x, C.fold_table(s, T.FOLDS))
+
+
+def _each_fold(rows, predict):
+    """predict(core, validation, test) of every fold, with the fold."""
+    parts = []
+    for fold in T.FOLDS:
+        of = rows.filter(F.col("fold") == fold[0])
+        parts.append(predict(*(of.filter(F.col("block") == x) for x in ("core", "validation", "test"))))
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+_HAR = ["lag_1", "mean_5", "mean_22"]
 
 
 @query("i02_har_ols")
 def ols(s, d):
-    b = _blocks(s, d)
-    fit = M.fit_ols(b.filter("block = 'core'"), ["lag_1", "mean_5", "mean_22"])
-    return fit.predict(b.filter("block = 'test'")).select("day", "rv", "predicted_rv")
+    return _each_fold(_blocks(s, d), lambda core, _, test: M.fit_ols(core, _HAR).predict(test).select("fold", "day", "rv", "predicted_rv"))
 
 
 @query("i03_har_gamma")
 def gamma(s, d):
-    b = _blocks(s, d)
-    fit = M.fit_gamma(b.filter("block = 'core'"), ["lag_1", "mean_5", "mean_22"])
-    return fit.predict(b.filter("block = 'test'")).select("day", "rv", "predicted_rv")
+    return _each_fold(_blocks(s, d), lambda core, _, test: M.fit_gamma(core, _HAR).predict(test).select("fold", "day", "rv", "predicted_rv"))
 
 
 @query("i04_anchored_probe")
 def probe(s, d):
     b = _blocks(s, d).withColumns({"anchor_log_rv": F.col("mean_22"), "x1": F.col("lag_1") - F.col("mean_22"), "x2": F.col("mean_5") - F.col("mean_22")})
-    fit = M.fit_probe(b.filter("block = 'core'"), b.filter("block = 'validation'"), ["x1", "x2"])
-    return fit.predict(b.filter("block = 'test'")).select("day", "rv", "predicted_rv", "correction")
+    return _each_fold(b, lambda core, validation, test: M.fit_probe(core, validation, ["x1", "x2"]).predict(test).select("fold", "day", "rv", "predicted_rv", "correction"))
 
 
 @query("i08_spike_gate")
 def gate(s, d):
     b = _blocks(s, d)
     b = b.join(C.core_threshold(b, 0.9).select("fold", "threshold"), "fold").withColumn("is_spike", F.col("rv") > F.col("threshold"))
-    names = ["lag_1", "mean_5", "mean_22"]
-    model = M.fit_gate(b.filter("block = 'core'"), names)
-    return M.gate_probability(model, b.filter("block = 'test'"), names).select("day", "is_spike", "p")
+    return _each_fold(b, lambda core, _, test: M.gate_probability(M.fit_gate(core, _HAR), test, _HAR).select("fold", "day", "is_spike", "p"))
 
 
 @query("i13_variance_filter")
