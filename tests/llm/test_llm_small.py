@@ -92,6 +92,23 @@ def test_ids_are_the_tokenizers(spark):
             assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
 
 
+def test_added_tokens_in_texts(spark):
+    """Packing takes the ids of a Tokenizer as loaded; token counts take the separator's string as text."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "it's<|endoftext|><|endoftext|>\n\n  x", "<|endoftext", "x <|endoftext|> " * 1500, "plain 漢字  text", "end <|endoftext|>"]
+    rows = packing.pack_documents(docs(spark, texts)).toPandas()
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert tokens.encoder(tokens.default_path(), added=True)(text).tolist() == ids[:-1].tolist()
+        mine = rows[rows.doc_id == i].sort_values("piece")
+        assert [(r.start, r.length, r.ids_crc32) for r in mine.itertuples()] == [(s, n, zlib.crc32(ids[s : s + n].tobytes())) for s, n in packing.cut(len(ids), 2048)]
+    t.encode_special_tokens = True
+    counts = {r["doc_id"]: r["n_tokens"] for r in tokencount.document_counts(docs(spark, texts)).collect()}
+    assert counts == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
 # --- token counts ----------------------------------------------------------------------------------
 
 

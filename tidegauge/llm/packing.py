@@ -40,7 +40,7 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) ->
     """doc_id, piece, start, length and crc32 of the ids of each piece. Null text: empty."""
 
     def run(batches):
-        encode = tokens.encoder(tokenizer)
+        encode = tokens.encoder(tokenizer, added=True)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

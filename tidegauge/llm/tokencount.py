@@ -33,7 +33,7 @@ def write_flat(docs: DataFrame, target: str, tokenizer: str, end_id: int = END_O
     """
 
     def run(batches):
-        encode = tokens.encoder(tokenizer)
+        encode = tokens.encoder(tokenizer)  # an end_id inside a text would be a separator
         store, folder = fs.FileSystem.from_uri(target)
         store.create_dir(folder, recursive=True)
         name, done = f"part-{uuid.uuid4().hex}.bin", 0
