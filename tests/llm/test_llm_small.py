@@ -333,7 +333,8 @@ def test_language_backoff(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(d)
     assert model.langs == ["de", "en"]
-    score = langid.Scorer(model)
+    score = lambda t: tuple(x[0] for x in langid.Scorer(model)([t]))
+    assert score("½ ² 12 Ⅷ") == ("und", 0.0) and score("m²")[0] != "und"
     assert score("the dog")[0] == "en" and score("hunde")[0] == "de" and score("12 !")[0] == score(None)[0] == "und"
     assert all(0 <= score(t)[1] <= 1 for t in ("the", "zzz", "qqq"))
     kept = langid.accepted(d.union(spark.createDataFrame([(99, "123", "en"), (100, None, "en")], d.schema)), model)
