@@ -206,22 +206,35 @@ def test_components_against_brute_force(spark, seed, k, percent):
     assert got.kept.tolist() == [c == i for i, c in enumerate(want)]
 
 
-def test_residual_finds_what_stars_miss(spark):
-    """Links that no pivot shows are found by prefixes and majority counts alone."""
-    texts = [t for t in corpus(5, base=2, each=40) if t]
-    texts = list(dict.fromkeys(texts))
-    p = neardup.Params(words=3, percent=85)
-    d = docs(spark, texts)
-    hashes = neardup.WordHashes()
-    n = [len(neardup.shingles(t.encode(), 3, hashes)) for t in texts]
-    nodes = spark.createDataFrame(list(enumerate(n)), "id long, n long")
-    sets = neardup.member_sets(d, nodes, p)
+def settle(spark, texts, p, monkeypatch=None):
+    """Components of texts that are one group without any link, and the numbers of pairs that were looked at."""
+    d, seen = docs(spark, texts), []
+    if monkeypatch:
+        staged = shared.staged
+        monkeypatch.setattr(shared, "staged", lambda df, name: (out := staged(df, name), seen.append(out.count()) if name == "pairs" else None)[0])
+    nodes = shared.staged(neardup.sketches(d, p).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "registers"), "nodes")
     groups = nodes.select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
     apart = nodes.select(F.col("id").alias("node"), F.col("id").alias("component"))
-    pairs = neardup.verified(neardup.residual_pairs(nodes, sets, groups, apart, p), sets, p)
-    want, _ = brute_components(texts, 3, 85)
-    got = {r["node"]: r["component"] for r in graph.components(pairs).collect()}
-    assert [got.get(i, i) for i in range(len(texts))] == want
+    none = spark.createDataFrame([], "a long, b long")
+    got = {r["node"]: r["component"] for r in neardup.settled(nodes, neardup.member_sets(d, nodes, p), groups, apart, none, p).collect()}
+    return [got.get(i, i) for i in range(len(texts))], sum(seen)
+
+
+@pytest.mark.parametrize(("seed", "base", "each", "percent"), [(5, 2, 40, 85), (6, 1, 90, 85), (7, 3, 30, 80)])
+def test_groups_are_settled_exactly(spark, seed, base, each, percent):
+    """Links that no pivot shows are found by the group's centre and by rare differences alone."""
+    texts = list(dict.fromkeys(t for t in corpus(seed, base=base, each=each) if t))
+    want, _ = brute_components(texts, 3, percent)
+    assert settle(spark, texts, neardup.Params(words=3, percent=percent))[0] == want
+
+
+def test_pairs_grow_with_the_group_not_its_square(spark, monkeypatch):
+    made = []
+    for n in (150, 600):
+        texts = list(dict.fromkeys(t for t in corpus(9, base=1, each=n, words=120) if t))
+        with monkeypatch.context() as m:
+            made.append(settle(spark, texts, neardup.Params(words=3, percent=85), m)[1])
+    assert made[1] <= 6 * max(made[0], 150)
 
 
 def test_estimates(spark):

@@ -7,14 +7,14 @@ two sketches with a probability that follows the Jaccard similarity. Bands of
 registers bring candidates together, the joint likelihood of two register
 vectors estimates their similarity, and the full sets decide.
 
-No step lists the pairs of a group. Equal sets become one node. In a band's
-bucket each node meets only the bucket's pivot. What that may miss is settled
-exactly: groups of nodes that buckets connect, but links do not, are joined on
-the minority shingles in their prefixes, and on counts of majority shingles.
-For nodes o and m of a group and its majority set H, the intersection is at most
-min(|o and H|, |m and H|) plus the shared minority shingles, so a link needs
-either a shared minority shingle (then also one in both prefixes, when shingles
-are ordered by their frequency) or counts large enough by themselves.
+Equal sets become one node. In a band's bucket each node meets only the
+bucket's pivot. What that may miss is settled exactly: in groups of nodes that
+buckets connect, but links do not, a node is told by its differences from the
+group's majority of shingles (see settled()). One star around the group's centre
+holds every link that rests on the majority alone; other links share a rare
+difference. Nodes of one such difference meet its pivot, and only those that
+then still are in different components, and whose counts allow a link, meet
+each other.
 """
 
 from __future__ import annotations
@@ -195,47 +195,95 @@ def _size_fits(a: str, b: str, p: Params):
     return (100 * F.least(a, b)) >= (p.percent * F.greatest(a, b))
 
 
-def residual_pairs(nodes: DataFrame, sets: DataFrame, groups: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
-    """Pairs that may be links though links found so far do not connect them.
+def profiles(inside: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """inside (g, size, id, n) with how each node differs from its group.
 
-    groups: (node, component) by shared buckets; labels: the same by links.
+    differs: the majority shingles that a node lacks and the minority shingles
+    that it has; h: the majority shingles that it has; e: see settled(). A group
+    has at most twice as many majority shingles as its mean node has shingles.
     """
-    of = groups.select(F.col("node").alias("id"), F.col("component").alias("g")).join(labels.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    open_ = of.groupBy("g").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("size")).filter("_lo <> _hi and size > 2").select("g", "size")
-    inside = of.join(open_, "g").join(nodes.select("id", "n"), "id")
-
-    schema = pa.schema({"id": pa.int64(), "s": pa.int64()})
+    pair, told = pa.schema({"g": pa.int64(), "s": pa.int64()}), pa.schema({"g": pa.int64(), "id": pa.int64(), "n": pa.int64(), "h": pa.int64(), "differs": pa.list_(pa.int64())})
 
     def explode(batches):
         for batch in batches:
-            for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = np.frombuffer(m, np.int64)
-                yield _batch([np.full(len(s), i), s], schema)
-
-    each = inside.join(sets, "id").select("id", "members").mapInArrow(explode, "id long, s long").join(inside, "id")
-    each = shared.staged(each, "residual")
-    often = each.groupBy("g", "s").agg(F.count("*").alias("f"))
-    rated = each.join(often.filter("f > 1"), ["g", "s"]).withColumn("major", F.col("f") * 2 > F.col("size"))
-    unique = each.groupBy("id").agg(F.count("*").alias("all")).join(rated.groupBy("id").agg(F.count("*").alias("shared"), F.count_if("major").alias("h")), "id")
-    # the prefix of a set: its rarest shingles, those of no other node first
-    prefix = F.col("n") - F.ceil(F.col("n") * p.percent / 100) + 1
-    order = Window.partitionBy("id").orderBy("f", "s")
-    minor = (
-        rated.withColumn("_at", F.row_number().over(order))
-        .join(unique.select("id", (F.col("all") - F.col("shared")).alias("_alone")), "id")
-        .filter(~F.col("major") & (F.col("_at") + F.col("_alone") <= prefix))
-    )
-    minor = shared.staged(minor.select("g", "s", "id", "c", "n"), "prefixes")
-    x, y = minor.alias("x"), minor.select("g", "s", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2")).alias("y")
-    by_minor = x.join(y, ["g", "s"]).filter((F.col("c") != F.col("c2")) & (F.col("id") < F.col("id2")) & _size_fits("n", "n2", p)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    # by counts of majority shingles: first which counts may meet, then who has them
-    core = shared.staged(inside.join(unique.select("id", "h"), "id").filter(F.col("h") * 100 >= F.col("n") * p.percent).select("g", "c", "id", "n", "h"), "cores")
-    kinds = core.groupBy("g", "n", "h").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"))
-    other = kinds.select("g", F.col("n").alias("n2"), F.col("h").alias("h2"), F.col("_lo").alias("_lo2"), F.col("_hi").alias("_hi2"))
-    meet = kinds.join(other, "g").filter((((100 + p.percent) * F.least("h", "h2")) >= (p.percent * (F.col("n") + F.col("n2")))) & ((F.col("_lo") != F.col("_hi2")) | (F.col("_hi") != F.col("_lo2"))) & ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("h") <= F.col("h2")))))
-    partner = core.select("g", F.col("c").alias("c2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("h").alias("h2"))
-    by_major = core.join(meet.select("g", "n", "h", "n2", "h2"), ["g", "n", "h"]).join(partner, ["g", "n2", "h2"]).filter(F.col("c") != F.col("c2")).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-    return by_minor.union(by_major).distinct()
+            for g, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = np.frombuffer(m.as_py(), np.int64)
+                yield _batch([np.full(len(s), g), s], pair)
+
+    def compare(batches):
+        for batch in batches:
+            has, differs = [], []
+            for m, majority in zip(batch.column(3), batch.column(4), strict=True):
+                s = np.frombuffer(m.as_py(), np.int64)
+                most = np.array(majority.as_py() or [], np.int64)
+                d = np.setxor1d(s, most, assume_unique=True)
+                differs.append(d)
+                has.append((len(s) + len(most) - len(d)) // 2)
+            yield _batch([*(batch.column(i) for i in range(3)), has, differs], told)
+
+    members = inside.join(sets, "id")
+    often = members.select("g", "members").mapInArrow(explode, "g long, s long").groupBy("g", "s").agg(F.count("*").alias("f"))
+    majority = often.join(inside.select("g", "size").distinct(), "g").filter(F.col("f") * 2 > F.col("size")).groupBy("g").agg(F.collect_list("s").alias("majority"))
+    out = members.join(majority, "g", "left").select("g", "id", "n", "members", "majority").mapInArrow(compare, "g long, id long, n long, h long, differs array<long>")
+    d = F.size("differs").cast("long")
+    return out.withColumns({"d": d, "e": (100 + p.percent) * d - (100 - p.percent) * F.col("n")})
+
+
+def _may_meet(p: Params):
+    """Whether x and y, whose first common difference is s, have enough left in common, in different components."""
+    left = 1 + F.least(F.col("d") - F.col("at"), F.col("d2") - F.col("at2"))
+    return (F.col("c") != F.col("c2")) & _size_fits("n", "n2", p) & (2 * (100 + p.percent) * left >= F.col("e") + F.col("e2"))
+
+
+def settled(nodes: DataFrame, sets: DataFrame, groups: DataFrame, labels: DataFrame, tried: DataFrame, p: Params) -> DataFrame:
+    """labels (node, component) after the links inside groups (node, component) that were not found before.
+
+    Two nodes with n and n2 shingles, d and d2 differences from their group's
+    majority and x differences in common are linked if, and only if,
+    e + e2 <= 2 (100 + percent) x, where e = (100 + percent) d - (100 - percent) n.
+    So the group's centre, the node of least e, is linked with every node that
+    any link without a common difference could join. All other links have a
+    common difference among the rarest of both nodes. The nodes of each such
+    difference meet one of them first; those that are then still in different
+    components meet each other. tried: pairs (a, b) that were settled before.
+    """
+    of = groups.select(F.col("node").alias("id"), F.col("component").alias("g")).join(labels.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    open_ = of.groupBy("g").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("size")).filter("_lo <> _hi and size > 2").select("g", "size")
+    inside = shared.staged(of.join(open_, "g").join(nodes.select("id", "n"), "id").select("g", "size", "id", "n"), "open")
+    each = shared.staged(profiles(inside, sets, p), "profiles")
+    centre = each.groupBy("g").agg(F.min(F.struct("e", "id")).alias("_least")).select("g", F.col("_least.e").alias("e0"), F.col("_least.id").alias("centre"))
+    each = each.join(centre, "g")
+    labels = graph.merged(labels, each.filter("e + e0 <= 0 and id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")))
+
+    # at least `need` common differences with any node that is not linked by the centre
+    partner = F.when(F.col("e") + F.col("e0") <= 0, F.greatest(F.col("e0"), 1 - F.col("e0"))).otherwise(F.col("e0"))
+    need = F.greatest(F.ceil((F.col("e") + partner) / (2 * (100 + p.percent))), F.ceil(F.col("n") * p.percent / 100) - F.col("h"), F.lit(1))
+    each = each.select("g", "id", "n", "d", "e", (F.col("d") - need + 1).alias("prefix"), F.explode("differs").alias("s"))
+    often = each.groupBy("g", "s").agg(F.count("*").alias("f")).filter("f > 1")
+    mine = Window.partitionBy("id")  # a node's differences, as many as its text and its group's majority have shingles
+    rated = each.join(often, ["g", "s"]).withColumn("at", F.row_number().over(mine.orderBy("f", "s")) + F.col("d") - F.count("*").over(mine))
+    rare = shared.staged(rated.filter("at <= prefix").select("g", "s", "id", "n", "d", "e", "at"), "prefixes")
+
+    def current() -> DataFrame:
+        """The prefixes with components, without differences that only one component has."""
+        now = rare.join(labels.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        mixed = now.groupBy("g", "s").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("g", "s")
+        return now.join(mixed, ["g", "s"])
+
+    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs not tried before, and the links among them."""
+        fresh = shared.staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        return fresh, shared.staged(verified(likely(fresh, nodes, p), sets, p), "links")
+
+    ends = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")]
+    now = shared.staged(current(), "mixed")
+    pivot = now.groupBy("g", "s").agg(F.min(F.struct("e", "id", "c", "n", "d", "at")).alias("_p")).select("g", "s", *(F.col(f"_p.{k}").alias(f"{k}2") for k in ("id", "c", "n", "d", "e", "at")))
+    fresh, links = linked(now.join(pivot, ["g", "s"]).filter(_may_meet(p)).select(*ends))
+    labels, tried = graph.merged(labels, links), tried.union(fresh)
+    now = shared.staged(current(), "mixed")
+    other = now.select("g", "s", *(F.col(k).alias(f"{k}2") for k in ("id", "c", "n", "d", "e", "at")))
+    _, links = linked(now.join(other, ["g", "s"]).filter((F.col("id") < F.col("id2")) & _may_meet(p)).select(*ends))
+    return graph.merged(labels, links)
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -267,9 +315,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     labels = graph.components(links)
     more = shared.staged(verified(_labelled(guess.join(best, ["a", "b"], "left_anti"), labels), sets, p), "links")
     labels = graph.merged(labels, more)
-    rest = residual_pairs(nodes, sets, met, labels, p).join(star.filter("fits").select("a", "b"), ["a", "b"], "left_anti")
-    rest = shared.staged(verified(likely(rest, nodes, p), sets, p), "links")
-    labels = graph.merged(labels, rest)
+    labels = settled(nodes, sets, met, labels, star.filter("fits").select("a", "b"), p)
 
     first = sketch.join(sets_of, "set_key", "left").withColumn("_node", F.coalesce("_first", "doc_id"))
     out = first.join(labels.select(F.col("node").alias("_node"), "component"), "_node", "left")
