@@ -66,3 +66,18 @@ def test_slow_state_is_the_recursion(spark):
             slow = (1 - alpha) * slow + alpha * v if seen else v
             seen, fast = True, v - slow
         assert r["slow"] == pytest.approx([slow, 2 * slow]) and r["fast"] == pytest.approx([fast, 2 * fast])
+
+
+def test_every_fold_is_assigned(spark):
+    """One day in 10,001 folds is there 10,001 times."""
+    folds = spark.range(10_001).select(F.col("id").cast("string").alias("fold"), F.lit("core").alias("block"), F.lit(START).alias("start"), F.lit(START + timedelta(1)).alias("end"))
+    got = C.assign_blocks(days(spark, 1), folds)
+    assert got.columns == ["series_id", "day", "valid", "rv", "log_rv", "fold", "block"]
+    assert got.select("fold").distinct().count() == got.count() == 10_001
+
+
+def test_every_family_is_scored(spark):
+    """1,001 prototypes give 1,001 scores of a day."""
+    protos = spark.range(1_001).select(F.col("id").cast("string").alias("family"), F.array(F.lit(1.0), F.lit(0.0)).alias("prototype"))
+    got = H.prototype_scores(days(spark, 1).withColumn("semantic", F.array(F.lit(3.0), F.lit(4.0))), protos, ["series_id"])
+    assert got.count() == 1_001 and got.filter("abs(score - 0.6) < 1e-9").count() == 1_001

@@ -48,9 +48,9 @@ def sample_lag_days(days: DataFrame, lags: int = 22) -> DataFrame:
 
 
 def assign_blocks(days: DataFrame, folds: DataFrame) -> DataFrame:
-    """days once for every fold and block that contains them (the fold table has a few rows)."""
-    f = F.broadcast(folds.limit(10_000))
-    return days.join(f, F.col("day").between(F.col("start"), F.col("end"))).drop("start", "end")
+    """days once for every fold and block that contains them; folds meet them by day, however many there are."""
+    each = folds.filter("start <= end").withColumn("day", F.explode(F.sequence(F.col("start").cast("date"), F.col("end").cast("date"))))
+    return days.join(each, "day").select(*days.columns, *(c for c in folds.columns if c not in ("start", "end")))
 
 
 def block_counts(assigned: DataFrame) -> DataFrame:

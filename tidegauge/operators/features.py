@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import vectors as V
+from tidegauge.operators.sizes import small
 
 ALPHA = 2 / 31
 #: Observations after which the closed form of a state starts anew, well before its powers overflow.
@@ -118,8 +119,7 @@ def prototypes(articles: DataFrame, vector: str = "semantic") -> DataFrame:
 
 def prototype_scores(days: DataFrame, protos: DataFrame, keys: list[str], vector: str = "semantic") -> DataFrame:
     """(keys, day, family, score): dot of the unit centroid with each prototype; 0 on days without one."""
-    small = F.broadcast(protos.select("family", "prototype").limit(1000))  # a row for each family of the lexicon
-    return days.select(*keys, "day", vector).crossJoin(small).select(*keys, "day", "family", F.coalesce(V.dot(V.unit(vector), "prototype"), F.lit(0.0)).alias("score"))
+    return days.select(*keys, "day", vector).crossJoin(small(protos.select("family", "prototype"))).select(*keys, "day", "family", F.coalesce(V.dot(V.unit(vector), "prototype"), F.lit(0.0)).alias("score"))
 
 
 def directional_margins(articles: DataFrame, core: DataFrame, keys: list[str], vector: str = "semantic") -> DataFrame:

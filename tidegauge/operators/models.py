@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.losses import qlike
+from tidegauge.operators.sizes import small
 
 LAMBDAS = (0.0, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0)
 MIN_GAIN = 1e-5
@@ -203,7 +204,7 @@ def select_blend(a: DataFrame, b: DataFrame, blends=BLENDS, delta: float = MIN_G
 
 
 def blend(a: DataFrame, b: DataFrame, chosen: DataFrame) -> DataFrame:
-    both = _pair(a, b).join(F.broadcast(chosen.select("fold", "alpha").limit(10_000)), "fold")
+    both = _pair(a, b).join(chosen.select("fold", "alpha"), "fold")
     return both.withColumn("predicted_rv", F.exp((1 - F.col("alpha")) * F.ln("_normal") + F.col("alpha") * F.ln("_spike"))).drop("_normal", "_spike")
 
 
@@ -224,7 +225,7 @@ def variance_filter(returns: DataFrame, parameters: DataFrame, keys: list[str],
     import numpy as np
     import pandas as pd
 
-    rows = returns.select(*keys, "day", r).crossJoin(F.broadcast(parameters.limit(100)))  # a row for each specification
+    rows = returns.select(*keys, "day", r).crossJoin(small(parameters))
     types = dict(returns.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "spec string, day date, variance double"])
 

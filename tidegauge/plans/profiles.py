@@ -139,7 +139,7 @@ def representation_audit(rows: DataFrame, folds: list[str], sets: dict[str, list
 def gate_study(rows: DataFrame, folds: list[str], lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
     """A normal and a spike component, a gate on both, and hard, soft and selected routes."""
     cut = thresholds(rows)
-    flagged = rows.join(F.broadcast(cut.limit(10_000)), "fold").withColumn("is_spike", F.col("rv") > F.col("threshold"))  # a row for each fold
+    flagged = rows.join(cut, "fold").withColumn("is_spike", F.col("rv") > F.col("threshold"))
     out, chosen = [], []
     for f in folds:
         a = anchored(flagged, f).persist()
