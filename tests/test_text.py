@@ -58,19 +58,28 @@ def test_event_decisions(spark):
     assert r["keep"] and r["reason"] == "direct_concrete_repair"
 
 
-def test_first_seen(spark):
-    t, u = datetime(2024, 1, 1, 9), datetime(2024, 1, 1, 10)
-    rows = [(0, t, "Bitcoin – rises", "x"), (1, t, "Bitcoin - rises", "y"), (2, u, "other", "x"), (3, u, "new", "z")]
+def removed(spark, rows):
     df = spark.createDataFrame(rows, "scan_pos long, ts timestamp, title string, body string")
-    got = {r["scan_pos"]: r["removed_by"] for r in A.first_seen(df).collect()}
-    assert got == {0: None, 1: "title", 2: "content", 3: None}
+    return [r["removed_by"] for r in A.first_seen(df).orderBy("scan_pos").collect()], [r["removed_by"] for r in A.strict_duplicates(df).orderBy("scan_pos").collect()]
+
+
+NINE, TEN = datetime(2024, 1, 1, 9), datetime(2024, 1, 1, 10)
+
+
+def test_first_seen(spark):
+    rows = [(0, NINE, "Rates, again", "p"), (1, NINE, "rates \u2014 AGAIN", "q"), (2, TEN, "harvest", "p"), (3, TEN, "ports", "r")]
+    assert removed(spark, rows) == ([None, "title", "content", None],) * 2
 
 
 def test_removed_rows_register_no_keys(spark):
-    t, u = datetime(2024, 1, 1, 9), datetime(2024, 1, 1, 10)
-    rows = [(0, t, "a", "x"), (1, u, "b", "x"), (2, u, "b", "w")]
-    df = spark.createDataFrame(rows, "scan_pos long, ts timestamp, title string, body string")
-    assert {r["scan_pos"]: r["removed_by"] for r in A.first_seen(df).collect()} == {0: None, 1: "content", 2: None}
+    rows = [(0, NINE, "k", "p"), (1, TEN, "l", "p"), (2, TEN, "l", "q")]
+    assert removed(spark, rows) == ([None, "content", None], [None, "content", "title"])
+
+
+def test_empty_keys_match_nothing_and_content_is_normalised(spark):
+    rows = [(0, NINE, "", "p"), (1, NINE, "", "q"), (2, NINE, "k", ""), (3, TEN, "l", " !"), (4, TEN, None, None), (5, TEN, "m", "Dry spring?"), (6, NINE, "n", "dry  spring")]
+    assert removed(spark, rows) == ([None] * 6 + ["content"],) * 2
+    assert removed(spark, []) == ([], [])
 
 
 def test_budget_and_chunks(spark):

@@ -64,37 +64,47 @@ def reason_counts(decided_: DataFrame) -> DataFrame:
     return decided_.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def _keyed(articles: DataFrame) -> DataFrame:
+    """articles with their day and normalised title and content; empty ones are null and match nothing."""
+    known = lambda c: F.nullif(X.duplicate_key(c), F.lit(""))
+    return articles.withColumns({"_day": F.to_date("ts"), "_title": known("title"), "_content": F.when(known("body").isNotNull(), X.content_key(known("body").alias("body")))})
+
+
 def first_seen(articles: DataFrame, order: str = "scan_pos") -> DataFrame:
     """Articles with removed_by (null: kept): title, content or null, by exact first-seen rules.
 
     An article goes if an earlier kept one has its timestamp and title key, or
-    else its day and content. A removed article registers no keys, so a day is
-    walked in order; both keys lie within a day, so days are walked in parallel.
+    else its day and content key. Titles and contents without a letter or digit
+    match nothing. A removed article registers no keys, so articles that share a
+    key are walked in order, days in parallel; all others are kept at once.
     """
-    keyed = articles.withColumns({"_day": F.to_date("ts"), "_title": X.duplicate_key("title"), "_content": X.content_key(F.trim("body"))})
+    keyed = _keyed(articles).select(order, "ts", "_day", "_title", "_content")
+    many = lambda *k: F.count("*").over(Window.partitionBy(*k)) > 1
+    titled = keyed.filter("_title is not null").withColumn("_m", many("ts", "_title")).filter("_m").select(order)
+    filled = keyed.filter("_content is not null").withColumn("_m", many("_day", "_content")).filter("_m").select(order)
+    shared = keyed.join(titled.union(filled).distinct(), order, "left_semi")
 
     def walk(day: pd.DataFrame) -> pd.DataFrame:
         titles, contents, out = set(), set(), []
-        for ts, title, content in day.sort_values(order)[["ts", "_title", "_content"]].itertuples(index=False):
-            cause = "title" if (ts, title) in titles else "content" if content in contents else None
+        day = day.sort_values(order)
+        for ts, title, content in day[["ts", "_title", "_content"]].itertuples(index=False):
+            cause = "title" if title is not None and (ts, title) in titles else "content" if content is not None and content in contents else None
             out.append(cause)
             if cause is None:
                 titles.add((ts, title))
                 contents.add(content)
-        day = day.sort_values(order)[[order]].copy()
-        day["removed_by"] = pd.Series(out, index=day.index, dtype=object)
-        return day
+        return pd.DataFrame({order: day[order], "removed_by": pd.Series(out, index=day.index, dtype=object)})
 
-    causes = keyed.select(order, "ts", "_day", "_title", "_content").groupBy("_day").applyInPandas(walk, f"{order} long, removed_by string")
-    return articles.join(causes, order)
+    causes = shared.groupBy("_day").applyInPandas(walk, f"{order} long, removed_by string")
+    return articles.join(causes, order, "left")
 
 
 def strict_duplicates(articles: DataFrame, order: str = "scan_pos") -> DataFrame:
     """As first_seen, but a removed article's keys count too: stricter, and SQL windows alone."""
-    keyed = articles.withColumns({"_day": F.to_date("ts"), "_title": X.duplicate_key("title"), "_content": X.content_key(F.trim("body"))})
     n = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(order))
-    out = keyed.withColumns({"_a": n("ts", "_title"), "_b": n("_day", "_content")})
-    return out.withColumn("removed_by", F.when(F.col("_a") > 1, "title").when(F.col("_b") > 1, "content")).drop("_day", "_title", "_content", "_a", "_b")
+    out = _keyed(articles).withColumns({"_a": n("ts", "_title"), "_b": n("_day", "_content")})
+    title, content = F.col("_title").isNotNull() & (F.col("_a") > 1), F.col("_content").isNotNull() & (F.col("_b") > 1)
+    return out.withColumn("removed_by", F.when(title, "title").when(content, "content")).drop("_day", "_title", "_content", "_a", "_b")
 
 
 def length_audit(articles: DataFrame, by: list[str], tokens=X.words, limit: int = 512) -> DataFrame:

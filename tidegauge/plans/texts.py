@@ -113,10 +113,10 @@ def reason_counts(s, d):
     return A.reason_counts(_decided(s, d))
 
 
-_KEYS = ", keyed AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS tk, trim(body) AS ck FROM plain)"
+_KEYS = ", keyed AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS tk, trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')) AS ck FROM plain)"
 
 
-@query("d13_strict_duplicates", tidy_sql("SELECT doc_id, CASE WHEN a > 1 THEN 'title' WHEN b > 1 THEN 'content' END AS removed_by FROM (SELECT doc_id, row_number() OVER (PARTITION BY ts, tk ORDER BY scan_pos) AS a, row_number() OVER (PARTITION BY CAST(ts AS DATE), ck ORDER BY scan_pos) AS b FROM keyed)", ctes=CLEAN + _KEYS))
+@query("d13_strict_duplicates", tidy_sql("SELECT doc_id, CASE WHEN tk <> '' AND a > 1 THEN 'title' WHEN ck <> '' AND b > 1 THEN 'content' END AS removed_by FROM (SELECT doc_id, tk, ck, row_number() OVER (PARTITION BY ts, tk ORDER BY scan_pos) AS a, row_number() OVER (PARTITION BY CAST(ts AS DATE), ck ORDER BY scan_pos) AS b FROM keyed)", ctes=CLEAN + _KEYS))
 def strict(s, d):
     return A.strict_duplicates(_articles(s, d)).select("doc_id", "removed_by")
 
