@@ -21,7 +21,7 @@ def annotate(predictions: DataFrame, thresholds: DataFrame | None = None) -> Dat
     out = predictions.withColumns({"usable": ok, "true_log_rv": F.when(ok, F.ln("true_rv")), "predicted_log_rv": F.when(ok, F.ln("predicted_rv")), "qlike": F.when(ok, F.exp(u) - u - 1)})
     if thresholds is None:
         return out
-    out = out.join(F.broadcast(thresholds.select("fold", F.col("threshold").alias("spike_threshold")).limit(10_000)), "fold", "left")  # a row for each fold
+    out = out.join(thresholds.select("fold", F.col("threshold").alias("spike_threshold")), "fold", "left")
     return out.withColumns({"is_spike": F.col("true_rv") > F.col("spike_threshold"), "predicted_spike": F.col("predicted_rv") > F.col("spike_threshold")})
 
 
@@ -84,7 +84,8 @@ def probability_metrics(rows: DataFrame, by: list[str], p: str = "p", label: str
     """AUC (ties count half), average precision (sum of steps), Brier, mean, P90 and base rate.
 
     Rows are first counted for each distinct score, so ranks come from sums over
-    scores and a key's rows are never sorted together.
+    scores and a key's rows are never sorted together. No rows at all, and no
+    keys: one row with n = 0 and null for the rest.
     """
     y = F.col(label).cast("long")
     each = rows.groupBy(*by, p).agg(F.sum(y).alias("_pos"), F.count("*").alias("_n"), F.sum((F.col(p) - y) * (F.col(p) - y)).alias("_sq"))
@@ -100,7 +101,7 @@ def probability_metrics(rows: DataFrame, by: list[str], p: str = "p", label: str
         F.sum("_sq").alias("_sq"),
         F.sum(F.col(p) * F.col("_n")).alias("_sum"),
     )
-    out = out.withColumns({"auc": F.try_divide(F.col("_u"), F.col("_p") * (F.col("n") - F.col("_p"))), "average_precision": F.try_divide("_ap", "_p"), "brier": F.col("_sq") / F.col("n"), "mean_p": F.col("_sum") / F.col("n"), "base_rate": F.col("_p") / F.col("n")})
+    out = out.withColumns({"auc": F.try_divide(F.col("_u"), F.col("_p") * (F.col("n") - F.col("_p"))), "average_precision": F.try_divide("_ap", "_p"), "brier": F.try_divide("_sq", "n"), "mean_p": F.try_divide("_sum", "n"), "base_rate": F.try_divide("_p", "n"), "n": F.coalesce("n", F.lit(0))})
     q = rows.groupBy(*by).agg(F.percentile(p, F.lit(0.9)).alias("p90"))
     out = out.drop("_p", "_u", "_ap", "_sq", "_sum")
     return out.join(q, by) if by else out.crossJoin(q)
@@ -269,7 +270,7 @@ def loss_difference(annotated: DataFrame, a: str, b: str, lags: int = 5) -> Data
     lrv: Column = F.col("_s0")
     for k in range(1, lags + 1):
         lrv = lrv + 2 * (1 - k / (lags + 1)) * F.col(f"_s{k}")
-    sd = F.sqrt(F.greatest(lrv, F.lit(0.0)) / F.col("n"))
+    sd = F.sqrt(F.try_divide(F.greatest(lrv, F.lit(0.0)), F.col("n")))
     return s.select("n", "mean_difference", sd.alias("long_run_std"), F.try_divide(F.col("mean_difference") * F.sqrt("n"), sd).alias("t"))
 
 

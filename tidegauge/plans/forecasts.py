@@ -169,7 +169,7 @@ def ensemble(s, d):
     return M.seed_ensemble(_seeded(s, d), 3, 3).select("fold", "model", "target_date", "predicted_rv")
 
 
-@query("j19_completion", "SELECT model, CASE WHEN model = 'none' THEN 'missing' WHEN model = 'mean_5' THEN 'ineligible_incomplete_folds' ELSE 'eligible' END AS status, CASE WHEN model = 'none' THEN 3 WHEN model = 'mean_5' THEN 1 ELSE 0 END AS missing FROM (VALUES ('random_walk'), ('mean_5'), ('mean_22'), ('none')) t(model), (SELECT count(*) AS c FROM orders) o WHERE c > 0")
+@query("j19_completion", f"WITH {_P}, done AS (SELECT model, count(DISTINCT fold) AS k FROM pred WHERE NOT (model = 'mean_5' AND fold = 'fold_1999') GROUP BY 1) SELECT model, CASE WHEN k IS NULL THEN 'missing' WHEN k < 3 THEN 'ineligible_incomplete_folds' ELSE 'eligible' END AS status, 3 - coalesce(k, 0) AS missing FROM (VALUES ('random_walk'), ('mean_5'), ('mean_22'), ('none')) t(model) LEFT JOIN done USING (model)")
 def completion(s, d):
     p = T.predictions(s, d).filter("not (model = 'mean_5' and fold = 'fold_1999')")
     every = s.createDataFrame([("random_walk",), ("mean_5",), ("mean_22",), ("none",)], "model string")

@@ -71,19 +71,23 @@ def gaps(b: DataFrame) -> DataFrame:
     return x.filter("_h between 2 and 4").select("series_id", (F.col("_p") + F.expr("INTERVAL 1 HOUR")).alias("start"), (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("end"))
 
 
+#: A prime near a million: no quotient of an amount in cents is a tie where results are rounded.
+UNIT = 999_983.0
+
+
 def long_days(spark: SparkSession, sf_dir: str, by_priority: bool = True) -> DataFrame:
     """A long daily series: order value per day and priority (or all), on the full calendar; about a tenth of days is invalid."""
     from tidegauge.operators.bars import spine
 
     o = read(spark, sf_dir, "orders").select((F.col("o_orderpriority") if by_priority else F.lit("all")).alias("series_id"), F.to_date("o_orderdate").alias("day"), "o_totalprice")
-    d = o.groupBy("series_id", "day").agg((F.sum("o_totalprice") / 1e6).alias("rv"))
+    d = o.groupBy("series_id", "day").agg((F.sum("o_totalprice") / UNIT).alias("rv"))
     out = spine(d).join(d, ["series_id", "day"], "left")
     return out.withColumns({"valid": F.col("rv").isNotNull(), "log_rv": F.ln("rv")})
 
 
 def long_days_sql(by_priority: bool = True) -> str:
     series = "o_orderpriority" if by_priority else "'all'"
-    return f"""base AS (SELECT {series} AS series_id, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) / 1e6 AS rv FROM orders GROUP BY 1, 2),
+    return f"""base AS (SELECT {series} AS series_id, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) / {UNIT} AS rv FROM orders GROUP BY 1, 2),
 cal AS (SELECT series_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM base GROUP BY 1),
 days AS (SELECT c.series_id, c.day, b.rv, b.rv IS NOT NULL AS valid, ln(b.rv) AS log_rv FROM cal c LEFT JOIN base b ON c.series_id = b.series_id AND c.day = b.day)"""
 
