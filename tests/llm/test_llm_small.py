@@ -298,6 +298,19 @@ def test_runs_against_brute_force(spark, seed, least):
 # --- statistics, models ------------------------------------------------------------------------------
 
 
+def test_runs_keep_clashing_columns(spark):
+    """Columns named as the operator's own come back as they were, in their order."""
+    names = ("_id", "_t1", "_t2", "_spans", "_out", "__id", "a.b", "n_lines")
+    run = "\n".join(f"line {i} of a passage that two documents share word for word" for i in range(6))
+    plain = docs(spark, [f"first\n{run}", f"second\n{run}", None, ""])
+    given = plain.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    got = linededup.remove_repeated_runs(given)
+    assert got.columns == [*(c for c in given.columns if c not in ("text", "n_lines")), "text", "n_lines", "n_removed"]
+    rows = sorted(got.collect(), key=lambda r: r["doc_id"])
+    assert [(r["text"], r["n_lines"], r["n_removed"]) for r in rows] == [(f"first\n{run}", 7, 0), ("second", 7, 6), (None, 0, 0), ("", 0, 0)]
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names if c != "n_lines")
+
+
 def brute_repeat(words):
     win = {}
     for i in range(len(words) - 7):

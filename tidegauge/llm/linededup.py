@@ -36,10 +36,18 @@ class Params:
     min_words: int = 50
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with the 128-bit key (t1, t2) of the text; a null doc_id counts as the smallest."""
+def _mark(docs: DataFrame) -> str:
+    """Underscores that no column of docs begins with: names after them are free."""
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    return mark
+
+
+def _keyed(docs: DataFrame, mark: str) -> DataFrame:
+    """docs with id and the 128-bit key (t1, t2) of the text, named behind mark; a null doc_id counts as the smallest."""
     text = F.col("text").cast("string")
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(1), text)})
+    return docs.withColumns({f"{mark}id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), f"{mark}t1": F.xxhash64(text), f"{mark}t2": F.xxhash64(F.lit(1), text)})
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
@@ -57,7 +65,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
                 n.append([len(x.split()) for x in lines])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(h1, longs), pa.array(h2, longs), pa.array(n, longs)], ["id", "t1", "t2", "h1", "h2", "words"])
 
-    rows = _keyed(docs).filter(F.col("text").isNotNull()).select("_id", "_t1", "_t2", F.col("text").cast("binary"))
+    rows = _keyed(docs.select("doc_id", "text"), "_").filter(F.col("text").isNotNull()).select("_id", "_t1", "_t2", F.col("text").cast("string").cast("binary"))
     return rows.mapInArrow(run, "id long, t1 long, t2 long, h1 array<long>, h2 array<long>, words array<long>")
 
 
@@ -161,9 +169,10 @@ def remove_repeated_runs(docs: DataFrame, p: Params = Params()) -> DataFrame:
     Earlier means a smaller doc_id, or the same document further up. A null
     doc_id is the smallest; rows that repeat a doc_id and its text are one
     document and lose the same lines; of two texts under one doc_id the order is
-    that of their hashes. Null texts stay null; lines without a word stay. An
-    empty table gives no rows. Columns of docs are kept, whatever their names
-    (n_lines and n_removed are replaced).
+    that of their hashes. Null texts stay null; lines without a word stay. Very
+    long texts are cut into lines whole; their windows are found in one pass over
+    their own lines. An empty table gives no rows. Columns of docs are kept,
+    whatever their names (n_lines and n_removed are replaced).
     """
     keys = shared.staged(line_keys(docs), "line-keys")
     firsts = keys.groupBy("t1", "t2").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -176,8 +185,9 @@ def remove_repeated_runs(docs: DataFrame, p: Params = Params()) -> DataFrame:
     # what a first text loses, its copies lose with all the rest; short copies lose nothing, as no run in them is long enough
     cuts = runs.select("id", "t1", "t2", "spans").union(copies)
     # a merge join at every size: the plan, and what it moves, is the same for small and large corpora
-    cuts = shared.staged(cuts.select(F.col("id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "spans"), "cuts").hint("merge")
-    joined = _keyed(docs).join(cuts.withColumnRenamed("spans", "_spans"), ["_id", "_t1", "_t2"], "left")
-    done = joined.withColumn("_out", _without(F.col("text").cast("string"), "_spans"))
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return done.select(*rest, "_out.text", "_out.n_lines", "_out.n_removed")
+    mark = _mark(docs)
+    cuts = shared.staged(cuts.select(*(F.col(c).alias(f"{mark}{c}") for c in ("id", "t1", "t2", "spans"))), "cuts").hint("merge")
+    joined = _keyed(docs, mark).join(cuts, [f"{mark}{c}" for c in ("id", "t1", "t2")], "left")
+    done = joined.withColumn(f"{mark}out", _without(F.col("text").cast("string"), f"{mark}spans"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return done.select(*rest, *(f"{mark}out.{c}" for c in ("text", "n_lines", "n_removed")))
