@@ -26,17 +26,22 @@ def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tick_id"), "user_id", "value")
 
 
-def _finish(spark, stream, name, mode="append"):
-    return jobs.run_to_table(stream, _place(spark, name), _place(spark, f"{name}-checkpoint"), mode)
+def _finish(spark, stream, name):
+    return jobs.run_to_table(stream, _place(spark, name), _place(spark, f"{name}-checkpoint"))
 
 
 def hourly(spark, sf_dir):
-    return tidy(_finish(spark, jobs.tumbling_bars(_ticks(spark, sf_dir)), "stream-bars", "complete"))
+    """Closed bars: those whose hour ended before the watermark, an hour behind the last tick."""
+    return tidy(_finish(spark, jobs.tumbling_bars(_ticks(spark, sf_dir)), "stream-bars"))
 
 
-def dedup(spark, sf_dir):
-    x = _ticks(spark, sf_dir).withColumn("minute", F.date_trunc("minute", "ts")).withWatermark("ts", "2 hours").dropDuplicatesWithinWatermark(["series_id", "minute"])
-    return tidy(_finish(spark, x.select("series_id", "minute"), "stream-first").groupBy("series_id").agg(F.count("*").alias("minutes")))
+def first_seen(spark, sf_dir):
+    """Documents as articles of whole days, so that titles of a day meet; how many of a day are kept."""
+    docs = jobs.read_stream(spark, f"{sf_dir}/document[s].parquet", T.read(spark, sf_dir, "documents"))
+    plain = {c: F.regexp_replace(c, r"[^ -~\n]", "x") for c in ("title", "body")}  # as DuckDB has no NFKD
+    articles = T.as_articles(docs).withColumns({"ts": F.date_trunc("day", "ts"), **plain})
+    kept = _finish(spark, jobs.first_seen(articles).select("ts"), "stream-first")
+    return tidy(kept.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("kept")))
 
 
 def joined(spark, sf_dir):
@@ -45,9 +50,13 @@ def joined(spark, sf_dir):
     return tidy(_finish(spark, x, "stream-join").groupBy("series_id", "day").agg(F.count("*").alias("n"), F.max("prior").alias("prior")))
 
 
-QUERIES |= {"k01_stream_bars": hourly, "k02_stream_first_seen": dedup, "k05_stream_previous_day": joined}
+#: Letters and digits in lower case, all between them one space.
+_KEY = r"trim(regexp_replace(lower(regexp_replace(coalesce({}, ''), '[^ -~\n]', 'x', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+QUERIES |= {"k01_stream_bars": hourly, "k02_stream_first_seen": first_seen, "k05_stream_previous_day": joined}
 SQL |= {
-    "k01_stream_bars": tidy_sql("SELECT series_id, ts, open, high, low, close, volume, CAST(trades AS BIGINT) AS trades FROM bars", "open high low close volume", times="ts", ctes=T.BARS),
-    "k02_stream_first_seen": "SELECT event_type AS series_id, count(DISTINCT date_trunc('minute', ts)) AS minutes FROM events GROUP BY 1",
+    "k01_stream_bars": tidy_sql("SELECT series_id, ts, open, high, low, close, volume, CAST(trades AS BIGINT) AS trades FROM bars WHERE ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)", "open high low close volume", times="ts", ctes=T.BARS),
+    "k02_stream_first_seen": f"""WITH {T.ARTICLES}, keyed AS (SELECT doc_id, CAST(ts AS DATE) AS day, coalesce(nullif({_KEY.format('title')}, ''), '#' || doc_id) AS t, coalesce(nullif({_KEY.format('body')}, ''), '#' || doc_id) AS c FROM articles),
+once AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY day, t ORDER BY doc_id) = 1)
+SELECT CAST(day AS VARCHAR) AS day, count(DISTINCT c) AS kept FROM once GROUP BY day""",
     "k05_stream_previous_day": "WITH d AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT a.series_id, CAST(a.day AS VARCHAR) AS day, a.n, b.n AS prior FROM d a LEFT JOIN d b ON b.series_id = a.series_id AND b.day = a.day - 1",
 }

@@ -126,8 +126,11 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_articles(read(spark, sf_dir, "documents"))
+
+
+def as_articles(d: DataFrame) -> DataFrame:
     """Documents as articles: the time from doc_id, the title from the first 60 characters."""
-    d = read(spark, sf_dir, "documents")
     ts = F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") * 7919 % 43200) * 60)
     return d.select("doc_id", F.col("doc_id").alias("scan_pos"), ts.alias("ts"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"), "source", "lang")
 

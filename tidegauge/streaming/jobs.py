@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidegauge.functions import text as X
@@ -29,10 +30,19 @@ def daily_counts(articles: DataFrame, late: str = "1 day") -> DataFrame:
     return out.select(F.to_date("w.start").alias("day"), "articles", "sources")
 
 
-def first_seen(articles: DataFrame, late: str = "1 day") -> DataFrame:
-    """Articles without repeats of a day's title and content keys inside the watermark."""
-    keyed = articles.withColumns({"day": F.to_date("ts"), "title_key": X.duplicate_key("title"), "content_key": X.content_key("body")})
-    return keyed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["day", "title_key", "content_key"])
+def first_seen(articles: DataFrame, order: str = "scan_pos", late: str = "1 day") -> DataFrame:
+    """Articles without those whose time and title, or day and content, came before within the watermark.
+
+    Two exact passes over keyed state, titles first: what a title removes leaves
+    no content behind. Titles and contents without a letter or digit match
+    nothing. `late` is a day at least, as contents are compared within a day.
+    """
+    own = F.concat(F.lit("#"), F.col(order).cast("string"))  # never a key: keys hold letters, digits and single spaces
+    known = lambda c: F.nullif(X.duplicate_key(c), F.lit(""))
+    content = F.when(known("body").isNotNull(), X.content_key(known("body").alias("body")))
+    keyed = articles.withColumns({"_day": F.to_date("ts"), "_title": F.coalesce(known("title"), own), "_content": F.coalesce(content, own)})
+    once = keyed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["ts", "_title"])
+    return once.dropDuplicatesWithinWatermark(["_day", "_content"]).drop("_day", "_title", "_content")
 
 
 def slow_fast(days: DataFrame, dimension: int, alpha: float = 2 / 31) -> DataFrame:
@@ -62,9 +72,14 @@ def slow_fast(days: DataFrame, dimension: int, alpha: float = 2 / 31) -> DataFra
     return days.groupBy("series_id").applyInPandasWithState(step, "series_id string, day date, slow array<double>, fast array<double>", "slow array<double>, started boolean, last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def with_late_counts(stream: DataFrame, name: str, late: str, ts: str = "ts") -> DataFrame:
-    """stream with a watermark, and observed counts of rows and of rows without a time."""
-    return stream.observe(name, F.count("*").alias("rows"), F.count_if(F.col(ts).isNull()).alias("without_time"), F.min(ts).alias("earliest"), F.max(ts).alias("latest")).withWatermark(ts, late)
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after their watermark, over the batches whose progress the query still holds.
+
+    Each stateful operator counts what it drops, and what one drops never reaches
+    the next. An aggregation counts partial groups: late rows of one batch,
+    partition and group are one.
+    """
+    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
 
 
 def previous_day_join(targets: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,13 +88,14 @@ def previous_day_join(targets: DataFrame, features: DataFrame, keys: list[str])
     return targets.join(shifted, [*keys, "day"], "left")
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what is there, write it to path and read it: append as Parquet, complete by replacing."""
-    spark = stream.sparkSession
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", path).outputMode("append").start()
-    else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what is there to Parquet files at path, and give the query when it is done."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return query
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """run_to_files, and the files as a table. Windows that the watermark has not passed stay in the state."""
+    run_to_files(stream, path, checkpoint)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
