@@ -160,10 +160,18 @@ def arrays(s, d):
     return out.select("series_id", "day", F.size("window").cast("long").alias("days"), F.col("window_padding").cast("long").alias("padding"), (1e6 * total).alias("total"))
 
 
-@query("c06_refit_folds", "WITH " + T.FOLDS_SQL + " SELECT c.fold, 'core' AS block, CAST(c.start AS VARCHAR) AS start, CAST(v.\"end\" AS VARCHAR) AS \"end\" FROM folds c JOIN folds v ON c.fold = v.fold AND c.block = 'core' AND v.block = 'validation' JOIN (SELECT count(*) FROM orders) o ON true UNION ALL SELECT fold, block, CAST(start AS VARCHAR), CAST(\"end\" AS VARCHAR) FROM folds WHERE block = 'test'")
+_REFIT = """WITH e AS (SELECT min(year(o_orderdate)) AS lo, max(year(o_orderdate)) AS hi FROM orders), y AS (SELECT lo, unnest(range(lo + 2, hi + 1)) AS y FROM e)
+SELECT 'fold_' || y AS fold, 'core' AS block, CAST(make_date(lo, 1, 1) AS VARCHAR) AS start, CAST(make_date(y - 1, 12, 31) AS VARCHAR) AS "end" FROM y
+UNION ALL SELECT 'fold_' || y, 'test', CAST(make_date(y, 1, 1) AS VARCHAR), CAST(make_date(y, 12, 31) AS VARCHAR) FROM y"""
+
+
+@query("c06_refit_folds", _REFIT)
 def refit(s, d):
-    some = T.read(s, d, "orders").agg(F.count("*").alias("_n"))
-    return C.refit_folds(C.fold_table(s, T.FOLDS)).crossJoin(some).drop("_n")
+    """Folds of the orders' years: a test year, the year before for validation, all earlier ones as core."""
+    span = T.read(s, d, "orders").agg(F.year(F.min("o_orderdate")).alias("lo"), F.year(F.max("o_orderdate")).alias("hi"))
+    years = span.filter("hi >= lo + 2").select("lo", F.explode(F.expr("sequence(lo + 2, hi)")).alias("y"))
+    blocks = F.expr("stack(3, 'core', make_date(lo, 1, 1), make_date(y - 2, 12, 31), 'validation', make_date(y - 1, 1, 1), make_date(y - 1, 12, 31), 'test', make_date(y, 1, 1), make_date(y, 12, 31)) AS (block, start, end)")
+    return tidy(C.refit_folds(years.select(F.concat(F.lit("fold_"), F.col("y").cast("string")).alias("fold"), blocks)))
 
 
 @query("c07_core_threshold", tidy_sql('SELECT fold, series_id, quantile_cont(rv, 0.9) AS threshold FROM days JOIN folds ON block = \'core\' AND day BETWEEN start AND "end" GROUP BY 1, 2', "threshold", ctes=f"{T.long_days_sql()}, {T.FOLDS_SQL}"))
