@@ -3,6 +3,10 @@
 Every stage but the last takes and gives the columns of documents. A stage works
 on all that its predecessor kept; run() writes each stage's rows to the shared
 folder and reads them again.
+
+All stages take whole texts of any length. A table without rows gives none.
+Rows that repeat a doc_id are each judged; columns besides doc_id and text pass
+unchanged, except that line dedup sets n_chars where it cuts a text.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from tidegauge.llm import decontam, langid, linededup, neardup, packing, shared
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language; texts without a letter and undecided ones go."""
+    """Documents of a known language; null texts, texts without a letter and undecided ones go."""
     return langid.accepted(docs, langid.fit(docs))
 
 
@@ -27,24 +31,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that of the smallest doc_id; texts without a word stay."""
     gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none."""
     return decontam.clean(docs, shared.table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, in sequences of at most 2048 tokens."""
+    """What is left, in sequences of at most 2048 tokens; a null or empty text is its closing id alone."""
     return packing.pack_documents(docs)
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("near dedup", copies), ("decontamination", benchmark), ("packing", pack)]
 
-#: Language, near-duplicates and packing are beyond SQL; tests hold the stages against brute force.
+#: Language, near-duplicates and packing are beyond SQL; tests/llm/test_contracts.py holds the stages against SQL and brute force.
 ORACLE_SQL = None
 
 
