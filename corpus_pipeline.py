@@ -5,8 +5,9 @@ on all that its predecessor kept; run() writes each stage's rows to the shared
 folder and reads them again.
 
 All stages take whole texts of any length. A table without rows gives none.
-Rows that repeat a doc_id are each judged; columns besides doc_id and text pass
-unchanged, except that line dedup sets n_chars where it cuts a text.
+Rows that repeat a doc_id are judged each by language and line dedup, and go or
+stay together in near dedup and decontamination. Columns besides doc_id and text
+pass unchanged, except that line dedup sets n_chars where it cuts a text.
 """
 
 from __future__ import annotations
