@@ -26,4 +26,25 @@ links AS (SELECT a, b FROM met JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(m, n.doc_id)) AS component_id, n.doc_id <= coalesce(m, n.doc_id) AS kept FROM n LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) r ON r.a = n.doc_id"""
 
-ORACLE_SQL = {"op1_warc_normaliser": WARC, "op3_line_runs": LINE_RUNS, "op9_setsketch_neardup": NEAR_DUPLICATES}
+SPELLING = r"""WITH RECURSIVE low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+run AS (SELECT doc_id, w, count(*) AS k, hex(encode(doc_id || ':' || w)) AS h FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM low) AS r GROUP BY doc_id, w),
+step AS (SELECT list(c ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_prepend(b, range(0, 8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(0, 256) AS t(b)) AS s),
+hashed AS (SELECT w, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h) + 1, 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))), lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1])), 4294967295) AS crc FROM run, step),
+cut AS (SELECT CASE WHEN crc % 97 = 0 THEN substr(w, 1, crc % len(w)) || substr(w, crc % len(w) + 2) ELSE w END AS word, k FROM hashed),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE len(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v) AS p),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, row(-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN other END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS here, 0 AS far FROM f UNION ALL SELECT walk.word, f.form, far + 1 FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL)
+SELECT f.*, root FROM f JOIN (SELECT word, arg_max(here, far) AS root FROM walk GROUP BY word) AS r USING (word)"""
+
+HARD_NEGATIVES = """WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3"""
+
+ORACLE_SQL = {"op1_warc_normaliser": WARC, "op3_line_runs": LINE_RUNS, "op9_setsketch_neardup": NEAR_DUPLICATES, "op11_spelling_variants": SPELLING, "op13_hard_negatives": HARD_NEGATIVES}

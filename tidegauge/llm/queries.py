@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontam, fm, langid, licenses, linededup, neardup, packing, rules, tokencount, warc
+from tidegauge.llm import decontam, fm, hardneg, langid, lexpack, licenses, linededup, neardup, packing, rules, spelling, tokencount, warc
 from tidegauge.llm.oracles import ORACLE_SQL
 from tidegauge.llm.shared import table
 
@@ -71,9 +71,26 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words, its form and its root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 1024 tokens, beside its lexical neighbours."""
+    return lexpack.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector's positives; every seventh label is one further."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.select("vec_id", "embedding", label.alias("label")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_normaliser, op2_quality_fm, op3_line_runs, op4_best_fit_packing, op5_language_id, op6_token_counts, op7_quality_rules, op8_license_scan, op9_setsketch_neardup, op10_template_decontamination)
+    for f in (op1_warc_normaliser, op2_quality_fm, op3_line_runs, op4_best_fit_packing, op5_language_id, op6_token_counts, op7_quality_rules, op8_license_scan, op9_setsketch_neardup, op10_template_decontamination, op11_spelling_variants, op12_lexical_packing, op13_hard_negatives)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
