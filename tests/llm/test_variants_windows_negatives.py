@@ -169,7 +169,8 @@ def test_lexical_packing_of_odd_rows(spark):
 def test_windows_take_the_best_neighbours():
     """The seed's window takes the unused neighbours by score, cuts the best that does not fit and goes on with its rest."""
     ids = [np.array(x, np.uint32) for x in ([1, 2, 3, 0], [9, 9, 9, 0], [1, 2, 3, 0], [1, 2, 7, 8, 0], [9, 9, 0])]
-    shard = lexpack.Shard(ids, np.array([0.1, 2, 2, 2, 1, 1, 1, 1, 1, 3.0]), 4, lexpack.Params(capacity=8))
+    terms, tf = zip(*(np.unique(x, return_counts=True) for x in ids), strict=True)
+    shard = lexpack.Shard(list(terms), list(tf), [len(x) for x in ids], np.array([0.1, 2, 2, 2, 1, 1, 1, 1, 1, 3.0]), 4, lexpack.Params(capacity=8))
     assert shard.neighbours(0, np.array([False, True, True, True, True])).tolist()[:2] == [2, 3]
     assert list(shard.windows()) == [[(0, 0, 4), (2, 0, 4)], [(1, 0, 4), (4, 0, 3), (3, 0, 1)], [(3, 1, 5)]]
     assert [[b - a for _, a, b in w] for w in lexpack.powers([(0, 0, 5), (1, 2, 4)])] == [[4], [1, 1], [1]]

@@ -47,9 +47,10 @@ def _batch(rows: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
 def tokenised(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> DataFrame:
     """A row a window that a document fills alone, and one for the rest of it.
 
-    (doc_id, start, length, ids_crc32, doc_tokens, ids): ids is null for full windows, whose place is known.
+    (doc_id, start, length, ids_crc32, doc_tokens, ids, terms, tf): the last three
+    are null for full windows, whose place is known; terms are the distinct ids.
     """
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    kinds = (pa.int64(),) * 5 + (pa.binary(),) * 3
 
     def run(batches):
         encode = tokens.encoder(tokenizer, added=True)
@@ -60,10 +61,14 @@ def tokenised(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> Da
                 n = len(ids)
                 for s in range(0, n, capacity):
                     part = ids[s : s + capacity]
-                    rows.append((doc, s, len(part), zlib.crc32(part.tobytes()), n, None if len(part) == capacity else part.tobytes()))
-            yield _batch(rows, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"], kinds)
+                    held = (None,) * 3
+                    if len(part) < capacity:
+                        terms, tf = np.unique(part, return_counts=True)
+                        held = part.tobytes(), terms.tobytes(), tf.astype("<u4").tobytes()
+                    rows.append((doc, s, len(part), zlib.crc32(part.tobytes()), n, *held))
+            yield _batch(rows, [*_NAMES[:5], "ids", "terms", "tf"], kinds)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, terms binary, tf binary")
 
 
 def document_frequencies(pool: DataFrame) -> DataFrame:
@@ -72,15 +77,15 @@ def document_frequencies(pool: DataFrame) -> DataFrame:
     def run(batches):
         df = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                terms = np.unique(np.frombuffer(ids.as_buffer(), "<u4"))
+            for x in batch.column(0):
+                terms = np.frombuffer(x.as_buffer(), "<u4")
                 if len(terms) and terms[-1] >= len(df):
                     df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)])
                 df[terms] += 1
         at = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(df[at])], ["term", "df"])
 
-    return pool.select("ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return pool.select("terms").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
@@ -90,13 +95,13 @@ def idf(df: np.ndarray, n: int) -> np.ndarray:
 class Shard:
     """The inverted index of some documents, and their greedy packing."""
 
-    def __init__(self, ids: list[np.ndarray], weight: np.ndarray, mean: float, p: Params):
-        self.p, self.size = p, np.array([len(x) for x in ids], np.int64)
-        parts = [np.unique(x, return_counts=True) for x in ids]
-        self.at = np.concatenate([[0], np.cumsum([len(t) for t, _ in parts])]).astype(np.int64)
-        self.term = np.concatenate([t for t, _ in parts]) if parts else np.zeros(0, np.uint32)
-        tf = np.concatenate([c for _, c in parts]).astype(float) if parts else np.zeros(0)
-        doc = np.repeat(np.arange(len(ids)), np.diff(self.at))
+    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], size: list[int], weight: np.ndarray, mean: float, p: Params):
+        """terms, tf: of each document the distinct ids in order, and how often each occurs; size: its ids."""
+        self.p, self.size = p, np.array(size, np.int64)
+        self.at = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64)
+        self.term = np.concatenate([np.zeros(0, np.uint32), *terms])
+        tf = np.concatenate([np.zeros(0), *tf])
+        doc = np.repeat(np.arange(len(terms)), np.diff(self.at))
         long = p.k1 * (1 - p.b + p.b * self.size / max(mean, 1e-9))
         self.score = weight[self.term] * tf * (p.k1 + 1) / (tf + long[doc])  # of each posting, in the order of documents
         order = np.argsort(self.term, kind="stable")
@@ -209,8 +214,8 @@ def pack_documents(docs: DataFrame, p: Params = Params(), tokenizer: str | None
         w = shared_weight.value
         for batch in batches:
             topic = np.zeros(batch.num_rows, np.int64)
-            for k, ids in enumerate(batch.column(batch.schema.get_field_index("ids"))):
-                terms, tf = np.unique(np.frombuffer(ids.as_buffer(), "<u4"), return_counts=True)
+            for k, (terms, tf) in enumerate(zip(batch.column("terms"), batch.column("tf"), strict=True)):
+                terms, tf = np.frombuffer(terms.as_buffer(), "<u4"), np.frombuffer(tf.as_buffer(), "<u4")
                 if len(terms) > p.topic_terms:
                     terms = terms[np.argpartition(-w[terms] * tf / (tf + p.k1), p.topic_terms - 1)[: p.topic_terms]]
                 topic[k] = int(((terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).min())
@@ -221,10 +226,10 @@ def pack_documents(docs: DataFrame, p: Params = Params(), tokenizer: str | None
 
         rows = pa.Table.from_batches(batches, schema)
         own = (1 << 62) + (TaskContext.get().partitionId() << 36)
-        ids = [np.frombuffer(x.as_buffer(), "<u4") for x in rows["ids"]]
+        ids, terms, tf = ([np.frombuffer(x.as_buffer(), "<u4") for x in rows[c]] for c in ("ids", "terms", "tf"))
         doc, start, size = rows["doc_id"].to_pylist(), rows["start"].to_pylist(), rows["doc_tokens"].to_pylist()
         out: list[tuple] = []
-        for window in Shard(ids, shared_weight.value, mean, p).windows():
+        for window in Shard(terms, tf, [len(x) for x in ids], shared_weight.value, mean, p).windows():
             full = sum(b - a for _, a, b in window) == p.capacity
             for part in [window] if full else powers(window):
                 offset = 0
@@ -234,7 +239,9 @@ def pack_documents(docs: DataFrame, p: Params = Params(), tokenizer: str | None
                 own += 1
         yield _batch(out, _NAMES, (pa.int64(),) * 7)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("topic", pa.int64()), ("_row", pa.int64())])
-    dealt = pool.select("doc_id", "start", "doc_tokens", "ids", "_row").mapInArrow(topics, "doc_id long, start long, doc_tokens long, ids binary, _row long, topic long")
-    dealt = dealt.select("doc_id", "start", "doc_tokens", "ids", "topic", "_row").repartitionByRange(max(1, -(-n // p.shard_docs)), "topic", "_row").sortWithinPartitions("topic", "_row")
+    columns = ["doc_id", "start", "doc_tokens", "ids", "terms", "tf", "_row", "topic"]
+    kinds = "doc_id long, start long, doc_tokens long, ids binary, terms binary, tf binary, _row long, topic long"
+    schema = pa.schema([(c, pa.binary() if c in ("ids", "terms", "tf") else pa.int64()) for c in columns])
+    dealt = pool.select(*columns[:-1]).mapInArrow(topics, kinds)
+    dealt = dealt.repartitionByRange(max(1, -(-n // p.shard_docs)), "topic", "_row").sortWithinPartitions("topic", "_row")
     return dealt.mapInArrow(fill, PLACED).unionByName(alone)
