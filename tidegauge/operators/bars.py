@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions.losses import finite
+
 EPS = 1e-12
 
 
@@ -53,11 +55,16 @@ def gap_audit(filled: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def gap_aware_returns(bars: DataFrame, step: int) -> DataFrame:
-    """Bars with day and r: the log return, null unless the previous bar is exactly one step earlier."""
-    w = Window.partitionBy("series_id").orderBy("ts")
-    near = _seconds("ts") - _seconds(F.lag("ts").over(w)) == step
-    good = (F.col("close") > 0) & (F.lag("close").over(w) > 0)
-    return bars.withColumn("r", F.when(near & good, F.ln("close") - F.ln(F.lag("close").over(w)))).withColumn("day", F.to_date("ts"))
+    """Bars with day and r: the log return, null unless there is a bar exactly one step earlier.
+
+    The step is fixed, so each bar meets the one before it by an equality of
+    times, and one long series is dealt over all tasks. A (series_id, ts) occurs
+    once, as after drop_duplicated.
+    """
+    before = bars.select("series_id", (F.col("ts") + F.expr(f"INTERVAL {step} SECONDS")).alias("ts"), F.col("close").alias("_before"))
+    good = (F.col("close") > 0) & (F.col("_before") > 0)
+    out = bars.join(before, ["series_id", "ts"], "left").withColumn("r", F.when(good, F.ln("close") - F.ln("_before")))
+    return out.select(*bars.columns, "r", F.to_date("ts").alias("day"))
 
 
 def channels(bars: DataFrame) -> DataFrame:
@@ -72,25 +79,34 @@ def spine(days: DataFrame, start: Column | None = None, end: Column | None = Non
     return ends.select("series_id", F.explode(F.sequence(start if start is not None else F.col("_a"), end if end is not None else F.col("_b"), F.expr("INTERVAL 1 DAY"))).alias("day"))
 
 
+CHANNELS = ["r", "log_r2", "log_range", "log_volume", "log_trades", "taker_ratio", "imbalance"]
+
+
 def day_table(returns: DataFrame, step: int) -> DataFrame:
     """series_id, day, n_bars, rv, log_rv, valid, invalid_reason, on the full calendar.
 
-    Reasons in this order: bar count, grid gap, missing boundary return, values
-    that are not finite or positive; a day without bars has the reason no_bars.
+    Reasons in this order: bar count, grid gap, no finite return of the day's
+    first bar, a channel of any bar that is not a finite number or a variance
+    that is not finite and positive; a day without bars has the reason no_bars.
     Invalid days have null measures.
     """
     full = 86_400 // step
-    bad = ~F.coalesce((F.col("close") > 0) & (F.col("high") > 0) & (F.col("low") > 0) & (F.col("volume") >= 0), F.lit(False))
-    each = returns.groupBy("series_id", "day").agg(
-        F.count("*").alias("n_bars"),
-        F.min("ts").alias("_first"),
-        F.max("ts").alias("_last"),
-        F.count_if(F.col("r").isNull()).alias("_no_r"),
-        F.count_if(bad).alias("_bad"),
-        F.sum(F.col("r") * F.col("r")).alias("_rv"),
+    each = (
+        channels(returns)
+        .withColumn("_bad", ~finite(*CHANNELS))
+        .groupBy("series_id", "day")
+        .agg(
+            F.count("*").alias("n_bars"),
+            F.min("ts").alias("_first"),
+            F.max("ts").alias("_last"),
+            F.min_by(F.struct("r"), "ts").alias("_open"),
+            F.count_if("_bad").alias("_bad"),
+            F.sum(F.when(~F.col("_bad"), F.col("r") * F.col("r"))).alias("_rv"),
+        )
+        .withColumn("_open", F.col("_open.r"))
     )
     gap = (_seconds("_last") - _seconds("_first") != (full - 1) * step) | (_seconds("_first") % 86_400 != 0)
-    reason = F.when(F.col("n_bars").isNull(), "no_bars").when(F.col("n_bars") != full, "bar_count").when(gap, "grid_gap").when(F.col("_no_r") > 0, "missing_boundary_return").when((F.col("_bad") > 0) | ~(F.col("_rv") > 0), "not_positive")
+    reason = F.when(F.col("n_bars").isNull(), "no_bars").when(F.col("n_bars") != full, "bar_count").when(gap, "grid_gap").when(~finite("_open"), "missing_boundary_return").when((F.col("_bad") > 0) | ~finite("_rv") | ~(F.col("_rv") > 0), "nonfinite_or_nonpositive")
     days = spine(each).join(each, ["series_id", "day"], "left").withColumn("invalid_reason", reason)
     rv = F.when(F.col("invalid_reason").isNull(), F.col("_rv"))
     return days.select("series_id", "day", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), rv.alias("rv"), F.ln(rv).alias("log_rv"), F.col("invalid_reason").isNull().alias("valid"), "invalid_reason")

@@ -79,6 +79,12 @@ def days(s, d):
     return _days(s, d)
 
 
+@query("b06_faulty_bars", tidy_sql("SELECT * FROM days", "rv log_rv", "day", ctes=T.PLANTED))
+def faulty(s, d):
+    """Days of bars of which some are not numbers, infinite, missing or not positive."""
+    return B.day_table(B.gap_aware_returns(T.planted(_filled(s, d)), T.HOUR), T.HOUR)
+
+
 @query("b06_reason_counts", tidy_sql("SELECT series_id, invalid_reason, count(*) AS n FROM days WHERE NOT valid GROUP BY 1, 2", ctes=T.DAYS))
 def reasons(s, d):
     return B.reason_counts(_days(s, d))

@@ -55,13 +55,34 @@ GAPS = BARS + """, gaps AS (SELECT series_id, p + INTERVAL 1 HOUR AS start, ts -
 WHERE date_diff('hour', p, ts) BETWEEN 2 AND 4),
 filled AS (SELECT *, false AS synthetic FROM bars UNION ALL SELECT g.series_id, t.ts, b.close, b.close, b.close, b.close, 0, 0, 0, 0, true FROM (SELECT series_id, start, unnest(generate_series(start, "end", INTERVAL 1 HOUR)) AS ts FROM gaps) t
 JOIN gaps g USING (series_id, start) JOIN bars b ON b.series_id = t.series_id AND b.ts = t.start - INTERVAL 1 HOUR)"""
-RETURNS = GAPS + """, rets AS (SELECT *, CAST(ts AS DATE) AS day, CASE WHEN ts - lag(ts) OVER w = INTERVAL 1 HOUR AND close > 0 AND lag(close) OVER w > 0 THEN ln(close) - ln(lag(close) OVER w) END AS r
-FROM filled WINDOW w AS (PARTITION BY series_id ORDER BY ts))"""
-DAYS = RETURNS + """, eachday AS (SELECT series_id, day, count(*) AS n_bars, min(ts) AS f, max(ts) AS l, count(*) FILTER (WHERE r IS NULL) AS no_r, sum(r * r) AS s, count(*) FILTER (WHERE NOT (close > 0 AND high > 0 AND low > 0 AND volume >= 0)) AS bad FROM rets GROUP BY 1, 2),
+def _days_sql(source: str) -> tuple[str, str]:
+    """CTEs of returns and days over the bars of a CTE."""
+    rets = f""", rets AS (SELECT b.*, CAST(b.ts AS DATE) AS day, CASE WHEN b.close > 0 AND p.close > 0 THEN ln(b.close) - ln(p.close) END AS r
+FROM {source} b LEFT JOIN {source} p ON p.series_id = b.series_id AND p.ts = b.ts - INTERVAL 1 HOUR)"""
+    days = """, sound AS (SELECT *, coalesce(isfinite(r) AND isfinite(r * r) AND low <> 0 AND high / low > 0 AND isfinite(high / low) AND volume > -1 AND isfinite(volume) AND trades > -1 AND isfinite(trades) AND (volume <= 0 OR isfinite(taker_base)), false) AS good FROM rets),
+eachday AS (SELECT series_id, day, count(*) AS n_bars, min(ts) AS f, max(ts) AS l, arg_min(struct_pack(r := r), ts).r AS r0, sum(r * r) FILTER (WHERE good) AS s, count(*) FILTER (WHERE NOT good) AS bad FROM sound GROUP BY 1, 2),
 span AS (SELECT series_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM eachday GROUP BY 1),
 days AS (SELECT series_id, day, n_bars, CASE WHEN invalid_reason IS NULL THEN s END AS rv, CASE WHEN invalid_reason IS NULL THEN ln(s) END AS log_rv, invalid_reason IS NULL AS valid, invalid_reason FROM (
-SELECT p.series_id, p.day, coalesce(n_bars, 0) AS n_bars, s, CASE WHEN n_bars IS NULL THEN 'no_bars' WHEN n_bars <> 24 THEN 'bar_count' WHEN date_diff('hour', f, l) <> 23 OR f <> date_trunc('day', f) THEN 'grid_gap' WHEN no_r > 0 THEN 'missing_boundary_return' WHEN bad > 0 OR NOT s > 0 THEN 'not_positive' END AS invalid_reason
+SELECT p.series_id, p.day, coalesce(n_bars, 0) AS n_bars, s, CASE WHEN n_bars IS NULL THEN 'no_bars' WHEN n_bars <> 24 THEN 'bar_count' WHEN date_diff('hour', f, l) <> 23 OR f <> date_trunc('day', f) THEN 'grid_gap' WHEN NOT coalesce(isfinite(r0), false) THEN 'missing_boundary_return' WHEN bad > 0 OR NOT coalesce(s > 0 AND isfinite(s), false) THEN 'nonfinite_or_nonpositive' END AS invalid_reason
 FROM span p LEFT JOIN eachday e ON p.series_id = e.series_id AND p.day = e.day))"""
+    return rets, days
+
+
+RETURNS = GAPS + _days_sql("filled")[0]
+DAYS = RETURNS + _days_sql("filled")[1]
+#: Bars with a faulty value on some days: what, in which column, and at which hour.
+FAULTS = (("close", "NaN", 12), ("high", "Infinity", 3), ("volume", "NaN", 5), ("trades", "-1", 7), ("close", "-1", 12), ("close", "Infinity", 0), ("taker_base", "-Infinity", 9), ("low", None, 8), ("low", "0", 10), ("close", "0", 23), ("volume", "-0.5", 4))
+_FAULT = lambda c: "CASE " + " ".join(f"WHEN day(ts) % 14 = {i} AND hour(ts) = {h} THEN " + (f"'{v}'::DOUBLE" if v else "NULL") for i, (x, v, h) in enumerate(FAULTS) if x == c) + f" ELSE {c} END AS {c}"
+PLANTED = GAPS + ", faulty AS (SELECT * REPLACE (" + ", ".join(_FAULT(c) for c in ("close", "high", "low", "volume", "trades", "taker_base")) + ") FROM filled)" + "".join(_days_sql("faulty"))
+
+
+def planted(filled: DataFrame) -> DataFrame:
+    """The bars with those faults."""
+    columns = {}
+    for i, (c, value, hour) in enumerate(FAULTS):
+        here = (F.dayofmonth("ts") % 14 == i) & (F.hour("ts") == hour)
+        columns[c] = F.when(here, F.lit(value).cast("double")).otherwise(columns.get(c, F.col(c)))
+    return filled.withColumns(columns)
 
 
 def gaps(b: DataFrame) -> DataFrame:

@@ -63,12 +63,19 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", by: list[str]
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row (rows, digest) that doesn't depend on the order of rows."""
+    """One row (rows, digest) that doesn't depend on the order of rows or columns.
+
+    The digest is the sum of the rows' hashes, so that repeated rows count each;
+    names and nulls are hashed with the values, as a null by itself leaves a hash
+    unchanged.
+    """
     names = sorted(df.columns)
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*names)), F.lit(0)).alias("digest"))
+    parts = [x for c in names for x in (F.lit(c), F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    total = F.sum(F.xxhash64(*parts).cast("decimal(38,0)"))
+    return df.agg(F.count("*").alias("rows"), F.coalesce(total, F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
 
 
-def verify_fingerprint(df: DataFrame, rows: int, digest: int) -> DataFrame:
+def verify_fingerprint(df: DataFrame, rows: int, digest: str) -> DataFrame:
     """df, or an error if its content is not what a dependent job was fixed on."""
     now = fingerprint(df).first()
     if (now["rows"], now["digest"]) != (rows, digest):
