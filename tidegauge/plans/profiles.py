@@ -2,25 +2,29 @@
 
 Rows of a study (`study_rows`) hold one target day of one fold and block, with
 what was known the day before. Folds, models and feature sets are short lists of
-names; each fit is a Spark job over its fold's core rows.
+names, and all fits of a study take their passes over the core rows together.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.lexicon import DEFAULT, Lexicon
+from tidegauge.functions.losses import qlike
 from tidegauge.operators import articles as A
 from tidegauge.operators import bars as B
+from tidegauge.operators import batched as L
 from tidegauge.operators import calendar as C
 from tidegauge.operators import daily as G
 from tidegauge.operators import evaluate as J
 from tidegauge.operators import features as H
 from tidegauge.operators import models as M
 from tidegauge.operators import review as R
+from tidegauge.sources.staging import staged
 
 HAR = ["lag_1", "mean_5", "mean_22"]
 MARKET = [*HAR, "last_minus_5", "five_minus_22", "change_1", "std_5"]
@@ -44,7 +48,7 @@ KEYS = ["series_id"]
 
 def news_features(articles: DataFrame, start, end, balanced: bool = False) -> DataFrame:
     """Daily news of a series on the full calendar, with intensity, states, surprise norm and share of news days."""
-    x = G.intensity(G.on_spine(G.daily_news(articles, KEYS, balanced), KEYS, start, end), KEYS).persist()  # read by the states and again by their join
+    x = staged(G.intensity(G.on_spine(G.daily_news(articles, KEYS, balanced), KEYS, start, end), KEYS), "news")  # read by the states and again by their join
     x = H.surprise_norm(H.slow_state(x, KEYS, "semantic"))
     return H.news_share(x, KEYS)
 
@@ -55,49 +59,78 @@ def study_rows(days: DataFrame, news: DataFrame, folds: DataFrame, columns: list
     scalars = news.select(*KEYS, "day", "no_news", *columns)
     market = C.market_state(days).filter("valid and lag_1 is not null")
     rows = C.join_previous_day(market, scalars, KEYS).filter("no_news is not null")
-    rows = C.assign_blocks(rows, folds).persist()  # the scaler reads the core, and then every row is scaled
-    return H.scaled_scalars(rows.withColumns({c: F.col(c).cast("double") for c in columns}), columns, rows.filter("block = 'core'"), ["fold"])
+    rows = staged(C.assign_blocks(rows, folds).withColumns({c: F.col(c).cast("double") for c in columns}), "rows")  # the scaler reads the core, and then every row is scaled
+    return staged(H.scaled_scalars(rows, columns, rows.filter("block = 'core'"), ["fold"]), "study-rows")
 
 
-def _block(rows: DataFrame, fold: str, block: str) -> DataFrame:
-    return rows.filter((F.col("fold") == fold) & (F.col("block") == block))
+def _block(rows: DataFrame, *blocks: str) -> DataFrame:
+    return rows.filter(F.col("block").isin(*blocks))
 
 
-def _frame(rows: DataFrame, model: str) -> DataFrame:
-    keep = ["anchor_log_rv", "correction"] if "correction" in rows.columns else []
-    return rows.select("fold", F.lit(model).alias("model"), F.col("day").alias("target_date"), F.col("rv").alias("true_rv"), "predicted_rv", *keep)
+def _frame(rows: DataFrame, model: str | None = None) -> DataFrame:
+    """Forecasts of rows; model: a name, or none if rows have one."""
+    keep = [c for c in ("anchor_log_rv", "correction") if c in rows.columns]
+    return rows.select("fold", (F.lit(model) if model else F.col("model")).alias("model"), F.col("day").alias("target_date"), F.col("rv").alias("true_rv"), "predicted_rv", *keep)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def baselines(rows: DataFrame, folds: list[str], block: str = "test") -> DataFrame:
-    """Last value, least squares and Gamma forecasts of every fold."""
-    out = []
-    for f in folds:
-        core, test = _block(rows, f, "core"), _block(rows, f, block)
-        out += [_frame(M.random_walk(test), "random_walk"), _frame(M.fit_ols(core, HAR).predict(test), "har_ols"), _frame(M.fit_gamma(core, HAR).predict(test), "har_gamma")]
-    return _union(out)
+def baselines(rows: DataFrame, block: str = "test") -> DataFrame:
+    """Last value, least squares and Gamma forecasts of every fold.
 
+    Least squares are of log RV; its forecast is exp times the mean of exp of the core residuals.
+    """
+    core, test = _block(rows, "core"), _block(rows, block)
+    gamma = L.fit(core, [L.Spec("har_gamma", tuple(HAR))], "rv")
+    ols = L.fit(core, [L.Spec("har_ols", tuple(HAR))], "log_rv", "gaussian")
+    smear = ols.predict(core).groupBy("fold").agg(F.avg(F.exp(F.col("log_rv") - F.col("eta"))).alias("_s"))
+    return _union(
+        [
+            _frame(M.random_walk(test), "random_walk"),
+            _frame(ols.predict(test).join(F.broadcast(smear), "fold").withColumn("predicted_rv", F.exp("eta") * F.col("_s"))),  # a row a fold
+            _frame(gamma.predict(test).withColumn("predicted_rv", F.exp("eta"))),
+        ]
+    )
 
-def anchored(rows: DataFrame, fold: str) -> DataFrame:
-    """The rows of a fold with the Gamma forecast as anchor."""
-    fit = M.fit_gamma(_block(rows, fold, "core"), HAR)
-    return fit.predict(rows.filter(F.col("fold") == fold)).withColumn("anchor_log_rv", F.col("predicted_log_rv")).drop("predicted_log_rv", "predicted_rv")
 
+def anchored(rows: DataFrame) -> DataFrame:
+    """The rows with their fold's Gamma forecast as anchor."""
+    fits = L.fit(_block(rows, "core"), [L.Spec("anchor", tuple(HAR))], "rv")
+    return fits.predict(rows, eta="anchor_log_rv").drop("model", "lam")
 
-def probes(rows: DataFrame, folds: list[str], sets: dict[str, list[str]], lambdas=M.LAMBDAS, block: str = "test", weight: str | None = None) -> DataFrame:
+
+@dataclass
+class Probes:
+    """Corrections of an anchor: parameters of every candidate, and (fold, model, lam, loss, base, selected) of the chosen."""
+
+    fits: L.Fits
+    chosen: DataFrame
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """Forecasts of every model; the anchor itself where no correction was selected."""
+        out = self.fits.predict(rows, self.chosen).join(F.broadcast(self.chosen.select("fold", "model", "selected")), ["fold", "model"])  # a row a fold and model
+        out = out.withColumn("correction", F.when(F.col("selected"), F.col("eta")).otherwise(0.0)).drop("eta", "selected", "lam")
+        return out.withColumn("predicted_rv", F.exp(F.col("anchor_log_rv") + F.col("correction")))
+
+
+def fit_probes(rows: DataFrame, sets: dict[str, list[str]], lambdas=M.LAMBDAS, weight: str | None = None) -> Probes:
+    """All feature sets, penalties and folds at once on the core; penalty and fallback are chosen on validation."""
+    specs = [L.Spec(name, tuple(columns), lam) for name, columns in sets.items() for lam in lambdas]
+    fits = L.fit(_block(rows, "core"), specs, F.col("rv") / F.exp("anchor_log_rv"), weight=weight)
+    seen = fits.predict(_block(rows, "validation"), fits.table.filter("converged")).withColumns({"_p": F.exp(F.col("anchor_log_rv") + F.col("eta")), "_a": F.exp("anchor_log_rv")})
+    losses = seen.groupBy("fold", "model", "lam").agg(F.avg(qlike("rv", "_p")).alias("loss"), F.avg(qlike("rv", "_a")).alias("base"))
+    best = M.pick_in_order(losses, ["fold", "model"], "lam").join(losses.groupBy("fold", "model").agg(F.max("base").alias("base")), ["fold", "model"])
+    return Probes(fits, staged(best.withColumn("selected", F.col("loss") < F.col("base") - M.MIN_GAIN), "chosen"))
+
+
+def probes(rows: DataFrame, sets: dict[str, list[str]], lambdas=M.LAMBDAS, weight: str | None = None, block: str = "test") -> DataFrame:
     """The anchor and its corrections by each feature set, on every fold."""
-    out = []
-    for f in folds:
-        a = anchored(rows, f).persist()
-        test = _block(a, f, block)
-        out.append(_frame(test.withColumn("predicted_rv", F.exp("anchor_log_rv")).withColumn("correction", F.lit(0.0)), "anchor"))
-        for name, columns in sets.items():
-            fit = M.fit_probe(_block(a, f, "core"), _block(a, f, "validation"), columns, lambdas=lambdas, weight=weight)
-            out.append(_frame(fit.predict(test), name))
-    return _union(out)
+    a = anchored(rows)
+    test = _block(a, block)
+    anchor = _frame(test.withColumns({"predicted_rv": F.exp("anchor_log_rv"), "correction": F.lit(0.0)}), "anchor")
+    return _union([anchor, _frame(fit_probes(a, sets, lambdas, weight).predict(test))])
 
 
 def thresholds(rows: DataFrame, q: float = 0.9) -> DataFrame:
@@ -119,72 +152,103 @@ def main_study(bars: DataFrame, gaps: DataFrame, step: int) -> dict[str, DataFra
     return {"filled": filled, "returns": returns, "days": days, "reasons": B.reason_counts(days), "zero_volume": B.zero_volume_audit(filled, days), "gaps": B.gap_audit(filled, gaps)}
 
 
-def forecast_study(rows: DataFrame, folds: list[str]) -> dict[str, DataFrame]:
+def _most(rows: DataFrame) -> int:
+    """Wins that a screen asks for: all folds but one."""
+    return max(1, rows.select("fold").distinct().count() - 1)
+
+
+def forecast_study(rows: DataFrame) -> dict[str, DataFrame]:
     """Baselines on common support."""
-    p = J.common_support(baselines(rows, folds))
-    return report(p, thresholds(rows), "har_gamma", max(1, len(folds) - 1))
+    p = J.common_support(baselines(rows))
+    return report(p, thresholds(rows), "har_gamma", _most(rows))
 
 
-def anchor_diagnostic(rows: DataFrame, folds: list[str], lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
+def anchor_diagnostic(rows: DataFrame, lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
     """What text adds to an anchor: corrections of market and text sets."""
-    p = probes(rows, folds, {"market": MARKET, "market_mood": FEATURE_SETS["market_mood"]}, lambdas)
-    out = report(p, thresholds(rows), "anchor", max(1, len(folds) - 1))
+    p = probes(rows, {"market": MARKET, "market_mood": FEATURE_SETS["market_mood"]}, lambdas)
+    out = report(p, thresholds(rows), "anchor", _most(rows))
     return out | {"corrections": J.correction_metrics(out["annotated"].filter("usable"), ["model"])}
 
 
-def representation_audit(rows: DataFrame, folds: list[str], sets: dict[str, list[str]] | None = None, lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
-    return report(probes(rows, folds, sets or FEATURE_SETS, lambdas), thresholds(rows), "anchor", max(1, len(folds) - 1))
+def representation_audit(rows: DataFrame, sets: dict[str, list[str]] | None = None, lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
+    return report(probes(rows, sets or FEATURE_SETS, lambdas), thresholds(rows), "anchor", _most(rows))
+
 
+def gates(rows: DataFrame, features: list[str], label: str, c: float = 0.1, least: int = 5) -> L.Fits:
+    """Balanced logistic gates of every fold, with the penalty 1 / C; an error with fewer than `least` rows of a class."""
+    sizes = rows.groupBy("fold").agg(F.count_if(F.col(label)).alias("_hot"), F.count_if(~F.col(label)).alias("_cold"))
+    if sizes.filter(F.least("_hot", "_cold") < least).limit(1).count():
+        raise ValueError("a class has too few rows")
+    n = F.col("_hot") + F.col("_cold")
+    weighted = rows.join(F.broadcast(sizes), "fold").withColumn("_w", n / (2 * F.when(F.col(label), F.col("_hot")).otherwise(F.col("_cold"))))  # a row a fold
+    return L.fit(weighted, [L.Spec("gate", tuple(features))], F.col(label).cast("double"), "logistic", "_w", alpha=lambda _, n: 1 / (c * n))
 
-def gate_study(rows: DataFrame, folds: list[str], lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
-    """A normal and a spike component, a gate on both, and hard, soft and selected routes."""
+
+def _probability(fits: L.Fits, rows: DataFrame, *more: str) -> DataFrame:
+    return fits.predict(rows).select("fold", F.col("day").alias("target_date"), (1 / (1 + F.exp(-F.col("eta")))).alias("p"), *more)
+
+
+def gate_study(rows: DataFrame, lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
+    """A normal and a spike component, a gate on both, and five routes of every fold."""
     cut = thresholds(rows)
-    flagged = rows.join(cut, "fold").withColumn("is_spike", F.col("rv") > F.col("threshold"))
-    out, chosen = [], []
-    for f in folds:
-        a = anchored(flagged, f).persist()
-        core, validation, test = (_block(a, f, b) for b in ("core", "validation", "test"))
-        spike = M.fit_probe(core, validation, GATE, lambdas=lambdas)
-        gate = M.fit_gate(core, GATE)
-        part = {}
-        for name, block in (("validation", validation), ("test", test)):
-            normal = _frame(block.withColumn("predicted_rv", F.exp("anchor_log_rv")), "anchor").drop("model")
-            p = M.gate_probability(gate, block, GATE).select("fold", F.col("day").alias("target_date"), "p", "is_spike")
-            part[name] = (normal, _frame(spike.predict(block), "spike").select("fold", "target_date", "true_rv", "predicted_rv"), p)
-        s = M.select_threshold(*part["validation"])
-        pick = s.first()
-        chosen.append(s)
-        normal, hot, p = part["test"]
-        routes = {"anchor": normal, "spike": hot, "hard_05": M.route(normal, hot, p, 0.5), "soft": M.route(normal, hot, p, soft=True), "selected": M.route(normal, hot, p, pick["threshold"], selected=pick["selected"])}
-        out += [r.select("fold", F.lit(n).alias("model"), "target_date", "true_rv", "predicted_rv") for n, r in routes.items()]
-        chosen[-1] = s.join(J.probability_metrics(p, ["fold"]), "fold")
-    return report(_union(out), cut, "anchor", max(1, len(folds) - 1)) | {"gates": _union(chosen)}
-
-
-def refit_study(rows: DataFrame, folds: list[str], columns: list[str], lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
-    """A probe selected on validation, then its coefficients refitted on core and validation: before and after."""
-    before, after = [], []
-    for f in folds:
-        a = anchored(rows, f).persist()
-        test = _block(a, f, "test")
-        selected = M.fit_probe(_block(a, f, "core"), _block(a, f, "validation"), columns, lambdas=lambdas)
-        before.append(_frame(selected.predict(test), "probe"))
-        pool = a.filter((F.col("fold") == f) & (F.col("block") != "test"))
-        after.append(_frame(M.refit_probe(selected, pool, columns).predict(test), "probe"))
-    m = [J.metrics(J.annotate(_union(x)), ["fold", "model"]) for x in (before, after)]
+    a = staged(anchored(rows.join(cut, "fold").withColumn("is_spike", F.col("rv") > F.col("threshold"))), "gate-rows")
+    gate, spike = gates(_block(a, "core"), GATE, "is_spike"), fit_probes(a, {"spike": GATE}, lambdas)
+
+    def parts(block: str):
+        x = _block(a, block)
+        normal = _frame(x.withColumn("predicted_rv", F.exp("anchor_log_rv"))).drop("anchor_log_rv") if "model" in x.columns else _frame(x.withColumn("predicted_rv", F.exp("anchor_log_rv")), "anchor").drop("model", "anchor_log_rv")
+        return normal, _frame(spike.predict(x)).select("fold", "target_date", "true_rv", "predicted_rv"), _probability(gate, x, "is_spike")
+
+    chosen = staged(M.select_threshold(*parts("validation")), "threshold")
+    normal, hot, p = parts("test")
+    routed = normal.join(F.broadcast(chosen.select("fold", "threshold", "selected")), "fold")  # a row a fold
+    routes = {
+        "anchor": normal,
+        "spike": hot,
+        "hard_05": M.route(normal, hot, p, 0.5),
+        "soft": M.route(normal, hot, p, soft=True),
+        "selected": M.route(routed, hot, p, F.col("threshold"), selected=F.col("selected")),
+    }
+    out = _union([r.select("fold", F.lit(n).alias("model"), "target_date", "true_rv", "predicted_rv") for n, r in routes.items()])
+    return report(out, cut, "anchor", _most(rows)) | {"gates": chosen.join(J.probability_metrics(p, ["fold"]), "fold")}
+
+
+def refit_study(rows: DataFrame, columns: list[str], lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
+    """Probes selected on validation, then their coefficients fitted anew on core and validation: before and after.
+
+    Penalty and decision stay as selected.
+    """
+    a = staged(anchored(rows), "refit-rows")
+    test = _block(a, "test")
+    selected = fit_probes(a, {"probe": columns}, lambdas)
+    locked = [L.Spec("probe", tuple(columns), r["lam"], (r["fold"],)) for r in selected.chosen.collect()]  # a row a fold
+    again = Probes(L.fit(_block(a, "core", "validation"), locked, F.col("rv") / F.exp("anchor_log_rv")), selected.chosen)
+    m = [J.metrics(J.annotate(_frame(p.predict(test))), ["fold", "model"]) for p in (selected, again)]
     return {"before": m[0], "after": m[1], "comparison": J.before_after(*m, ["fold", "model"], ["mean_qlike", "rmse"])}
 
 
-def tail_study(rows: DataFrame, folds: list[str], summary: DataFrame | None = None, lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
-    """Corrections under three temporal weightings, and what was known before spike days."""
-    out = []
-    for kind in ("expanding", "rolling", "decay"):
-        w = C.training_weights(rows.filter("block = 'core'"), kind, ["fold"])
-        weighted = w.unionByName(rows.filter("block <> 'core'").withColumn("weight", F.lit(1.0)))
-        p = probes(weighted, folds, {f"{kind}_market": MARKET, f"{kind}_mood": FEATURE_SETS["market_mood"]}, lambdas, weight="weight")
-        out.append(p if kind == "expanding" else p.filter("model <> 'anchor'"))
+def tail_study(rows: DataFrame, summary: DataFrame | None = None, lambdas=M.LAMBDAS, least: int = 5) -> dict[str, DataFrame]:
+    """Corrections and tail mixtures under three temporal weightings, and what was known before spike days.
+
+    A mixture is (1 - p) * normal + p * tail: weighted Gamma fits of all core
+    rows and of those above the 80th percentile, and the gate's probability.
+    """
     cut = thresholds(rows, 0.8)
-    done = report(_union(out), cut, "anchor", max(1, len(folds) - 1))
+    a = staged(anchored(rows.join(cut, "fold").withColumn("is_tail", F.col("rv") > F.col("threshold"))), "tail-rows")
+    core, test = _block(a, "core"), _block(a, "test")
+    p = _probability(gates(core, GATE, "is_tail", least=least), test)
+    relative = F.col("rv") / F.exp("anchor_log_rv")
+    out = [_frame(test.withColumns({"predicted_rv": F.exp("anchor_log_rv"), "correction": F.lit(0.0)}), "anchor")]
+    for kind in ("expanding", "rolling", "decay"):
+        w = C.training_weights(core, kind, ["fold"])
+        weighted = w.unionByName(_block(a, "validation", "test").withColumn("weight", F.lit(1.0)))
+        out.append(_frame(fit_probes(weighted, {f"{kind}_market": MARKET, f"{kind}_mood": FEATURE_SETS["market_mood"]}, lambdas, "weight").predict(test)))
+        both = []
+        for part in (w, w.filter("is_tail")):
+            fits = L.fit(part, [L.Spec("part", tuple(HAR), 1.0)], relative, weight="weight")
+            both.append(_frame(fits.predict(test).drop("model").withColumn("predicted_rv", F.exp(F.col("anchor_log_rv") + F.col("eta"))), f"{kind}_mixture"))
+        out.append(M.tail_mixture(both[0].drop("anchor_log_rv"), both[1], p))
+    done = report(_union([x.drop("anchor_log_rv") for x in out]), cut, "anchor", _most(rows))
     if summary is not None:
         spikes = done["annotated"].filter("model = 'anchor' and is_spike").select("fold", F.col("target_date").alias("day"))
         info = H.spike_information(spikes, summary)
@@ -192,19 +256,20 @@ def tail_study(rows: DataFrame, folds: list[str], summary: DataFrame | None = No
     return done
 
 
-def slow_update_study(rows: DataFrame, folds: list[str], lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
+def slow_update_study(rows: DataFrame, lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
     """A probe blended with its anchor by a weight chosen on validation, and influence of the worst spikes."""
-    out, alphas = [], []
-    for f in folds:
-        a = anchored(rows, f).persist()
-        fit = M.fit_probe(_block(a, f, "core"), _block(a, f, "validation"), FEATURE_SETS["surprise"], lambdas=lambdas)
-        pair = lambda b: (_frame(b.withColumn("predicted_rv", F.exp("anchor_log_rv")), "anchor").drop("model"), _frame(fit.predict(b), "probe").select("fold", "target_date", "true_rv", "predicted_rv"))  # noqa: B023, E731
-        alpha = M.select_blend(*pair(_block(a, f, "validation")))
-        base, probe = pair(_block(a, f, "test"))
-        alphas.append(alpha)
-        out += [x.select("fold", F.lit(n).alias("model"), "target_date", "true_rv", "predicted_rv") for n, x in (("anchor", base), ("probe", probe), ("blend", M.blend(base, probe, alpha)))]
-    done = report(_union(out), thresholds(rows), "anchor", max(1, len(folds) - 1))
-    return done | {"alphas": _union(alphas), "influence": J.influence(done["annotated"], "anchor")}
+    a = staged(anchored(rows), "slow-rows")
+    fits = fit_probes(a, {"probe": FEATURE_SETS["surprise"]}, lambdas)
+
+    def pair(block: str):
+        x = _block(a, block)
+        return _frame(x.withColumn("predicted_rv", F.exp("anchor_log_rv")), "anchor").drop("model", "anchor_log_rv"), _frame(fits.predict(x)).select("fold", "target_date", "true_rv", "predicted_rv")
+
+    alpha = staged(M.select_blend(*pair("validation")), "blend")
+    base, probe = pair("test")
+    out = _union([x.select("fold", F.lit(n).alias("model"), "target_date", "true_rv", "predicted_rv") for n, x in (("anchor", base), ("probe", probe), ("blend", M.blend(base, probe, alpha)))])
+    done = report(out, thresholds(rows), "anchor", _most(rows))
+    return done | {"alphas": alpha, "influence": J.influence(done["annotated"], "anchor")}
 
 
 def update_tokens(news: DataFrame, lookback: int = 30) -> DataFrame:
@@ -213,29 +278,31 @@ def update_tokens(news: DataFrame, lookback: int = 30) -> DataFrame:
     return C.lookback_arrays(t, ["slow_change", "intensity_change", "negative_ratio_change", "no_news"], lookback, "tokens")
 
 
-def vector_study(rows: DataFrame, articles: DataFrame, core_end, folds: list[str], lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
-    """Corrections from prototype scores and family surprises, known the day before."""
+def vector_study(rows: DataFrame, articles: DataFrame, core_end, families: list[str], lambdas=M.LAMBDAS) -> dict[str, DataFrame]:
+    """Corrections from prototype scores of the families, known the day before.
+
+    Prototypes are of articles up to core_end, the end of the first fold's core.
+    """
     daily = G.weighted_mean(G.article_weights(articles, KEYS), [*KEYS, "day"], "semantic")
     protos = H.prototypes(articles.filter(F.col("day") <= F.lit(core_end).cast("date")))
-    names = [f"proto_{r['family']}" for r in protos.select("family").orderBy("family").collect()]  # the lexicon's families
-    wide = H.prototype_scores(daily, protos, KEYS).groupBy(*KEYS, "day").pivot("family", [n.removeprefix("proto_") for n in names]).agg(F.first("score"))
-    wide = wide.select(*KEYS, "day", *(F.col(n.removeprefix("proto_")).alias(n) for n in names))
+    names = [f"proto_{f}" for f in families]
+    wide = H.prototype_scores(daily, protos, KEYS).groupBy(*KEYS, "day").pivot("family", families).agg(F.first("score"))
+    wide = wide.select(*KEYS, "day", *(F.col(f).alias(n) for f, n in zip(families, names, strict=True)))
     joined = C.join_previous_day(rows, wide, KEYS).fillna(0.0, names)
-    return report(probes(joined, folds, {"prototypes": names, "market_prototypes": [*MARKET, *names], "market": MARKET}, lambdas), thresholds(rows), "anchor", max(1, len(folds) - 1))
+    return report(probes(joined, {"prototypes": names, "market_prototypes": [*MARKET, *names], "market": MARKET}, lambdas), thresholds(rows), "anchor", _most(rows))
 
 
 def dimension_study(rows: DataFrame, news: DataFrame, fold: str, sizes: tuple[int, ...], lambdas=M.LAMBDAS) -> DataFrame:
     """Metrics of corrections by so many principal components of the daily centroid, less those of the first size."""
-    core_days = _block(rows, fold, "core").select(*KEYS, F.date_sub("day", 1).alias("day")).distinct()
-    out = []
-    for k in sizes:
-        z, _ = H.project(news, news.join(core_days, [*KEYS, "day"], "left_semi"), k)
-        names = [f"z{i}" for i in range(k)]
-        flat = z.select(*KEYS, "day", *(F.col("z")[i].alias(n) for i, n in enumerate(names)))
-        x = C.join_previous_day(rows.filter(F.col("fold") == fold), flat, KEYS).fillna(0.0, names)
-        m = J.metrics(J.annotate(probes(x, [fold], {"components": names}, lambdas)), ["model"])
-        out.append(m.withColumn("dimension", F.lit(k)))
-    return J.dimension_deltas(_union(out), sizes[0], ["mean_qlike", "rmse"])
+    own = rows.filter(F.col("fold") == fold)
+    core_days = _block(own, "core").select(*KEYS, F.date_sub("day", 1).alias("day")).distinct()
+    z, _ = H.project(news, news.join(core_days, [*KEYS, "day"], "left_semi"), max(sizes))
+    names = [f"z{i}" for i in range(max(sizes))]  # components are nested: the first k of more are those of k
+    flat = z.select(*KEYS, "day", *(F.col("z")[i].alias(n) for i, n in enumerate(names)))
+    x = C.join_previous_day(own, flat, KEYS).fillna(0.0, names)
+    m = J.metrics(J.annotate(probes(x, {str(k): names[:k] for k in sizes}, lambdas).filter("model <> 'anchor'")), ["model"])
+    m = m.withColumn("dimension", F.col("model").cast("int")).withColumn("model", F.lit("components"))
+    return J.dimension_deltas(m, sizes[0], ["mean_qlike", "rmse"])
 
 
 def walk_forward(predictions: DataFrame, folds: list[str], seeds: int, anchor: str) -> dict[str, DataFrame]:

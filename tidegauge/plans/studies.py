@@ -77,3 +77,66 @@ def information(s, d):
     cut = x.agg(F.percentile("rv", F.lit(0.9)).alias("cut"))
     summary = _articles(s, d).groupBy("day").agg(F.count("*").alias("articles"))
     return H.spike_information(x.crossJoin(cut).filter("rv > cut").select("day"), summary).select("day", "prior_articles", "same_articles", "availability")
+
+
+# --- studies that fit: every feature set, penalty and fold in the same passes ------------------------
+
+
+def _news(s, d) -> DataFrame:
+    return P.news_features(_articles(s, d), "1995-01-01", "2001-07-31")
+
+
+def _rows(s, d) -> DataFrame:
+    return P.study_rows(T.long_days(s, d, False), _news(s, d), C.fold_table(s, T.FOLDS))
+
+
+_SHOWN = ["fold", "model", "n", "mean_qlike", "normal_qlike", "spike_qlike", "rmse"]
+
+
+@query("n01_forecast_study")
+def forecast(s, d):
+    return P.forecast_study(_rows(s, d))["per_fold"].select(*_SHOWN)
+
+
+@query("n03_anchor_diagnostic")
+def anchor(s, d):
+    return P.anchor_diagnostic(_rows(s, d))["per_fold"].select(*_SHOWN)
+
+
+@query("n04_representation_audit")
+def representation(s, d):
+    return P.representation_audit(_rows(s, d))["per_fold"].select(*_SHOWN)
+
+
+@query("n06_gate_study")
+def gate(s, d):
+    return P.gate_study(_rows(s, d))["per_fold"].select(*_SHOWN)
+
+
+@query("n07_refit_study")
+def refit(s, d):
+    return P.refit_study(_rows(s, d), P.FEATURE_SETS["market_mood"])["comparison"]
+
+
+@query("n08_tail_study")
+def tail(s, d):
+    summary = _articles(s, d).groupBy("day").agg(F.count("*").alias("articles"))
+    return P.tail_study(_rows(s, d), summary)["per_fold"].select(*_SHOWN)
+
+
+@query("n09_vector_study")
+def vector(s, d):
+    families = sorted(r["family"] for r in T.vectors(s, d).select("family").distinct().collect())  # ten labels
+    return P.vector_study(_rows(s, d), _articles(s, d), T.FOLDS[0][2], families)["per_fold"].select(*_SHOWN)
+
+
+@query("n10_slow_update_study")
+def slow(s, d):
+    return P.slow_update_study(_rows(s, d))["per_fold"].select(*_SHOWN)
+
+
+@query("n11_dimension_study")
+def dimension(s, d):
+    news = _news(s, d)
+    rows = P.study_rows(T.long_days(s, d, False), news, C.fold_table(s, T.FOLDS))
+    return P.dimension_study(rows, news, T.FOLDS[0][0], (2, 4))
