@@ -114,3 +114,28 @@ def test_only_the_core_is_fitted(rows):
     one = L.fit(rows.filter("block = 'core'"), spec, "rv").table.collect()
     bent = rows.withColumn("rv", F.when(F.col("block") == "core", F.col("rv")).otherwise(999.0))
     assert L.fit(bent.filter("block = 'core'"), spec, "rv").table.collect() == one
+
+
+def test_wide_fits_equal_narrow_ones(spark, rows):
+    x = rows.withColumn("v", F.array("x", "y", "z", "both"))
+    core, test = x.filter("block = 'core'"), x.filter("block = 'test'")
+    lambdas = (0.1, 3.0, 100.0)
+    narrow = L.fit(core, [L.Spec("m", ("x", "y", "z", "both"), lam) for lam in lambdas], "rv").predict(test).toPandas()
+    wide = L.fit_wide(core, "v", "rv", lambdas).predict(test, "v").toPandas()
+    both = narrow.merge(wide, on=["fold", "i", "lam"], suffixes=("", "_wide"))
+    assert len(both) == len(narrow) == len(wide) and np.abs(both["eta"] - both["eta_wide"]).max() < 1e-5
+    with pytest.raises(ValueError):
+        L.fit_wide(core.withColumn("v", F.when(F.col("i") == 3, F.array("x")).otherwise(F.col("v"))), "v", "rv", lambdas)
+
+
+def test_wider_than_a_gram_matrix(spark):
+    """7,170 columns and few rows, against the dual solution of a least-squares ridge."""
+    r = np.random.default_rng(4)
+    n, d, lam = 60, 7170, 30.0
+    x, t = r.normal(size=(n, d)), r.normal(size=n)
+    df = spark.createDataFrame([("a", x[i].tolist(), float(t[i])) for i in range(n)], "fold string, v array<double>, t double")
+    got = L.fit_wide(df, "v", "t", (lam,), "gaussian").predict(df, "v").toPandas()["eta"].to_numpy()
+    z = (x - x.mean(0)) / x.std(0)
+    k = z @ z.T
+    want = t.mean() + k @ np.linalg.solve(k + 2 * lam * np.eye(n), t - t.mean())
+    assert np.abs(np.sort(got) - np.sort(want)).max() < 1e-5

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidegauge.operators import articles as A
 from tidegauge.streaming import jobs
 
 
@@ -37,10 +38,20 @@ def test_first_seen(spark, tmp_path):
         [(6, at(1, 13), "", ""), (7, at(1, 13), None, "...")],  # nothing to match: kept
         [(8, at(2, 9), "Harbour reopens", "The harbour took ships again.")],  # another day: kept
     ]
+    parts.append([(9, at(1, 11), "Something else", "What a removed title had with it."), (10, at(1, 9), "Harbour reopens", "What a removed title had with it."), (11, at(1, 11), "Ships are back", "Still other words.")])
     stream = stream_of(spark, tmp_path / "in", ARTICLES, parts)
-    got = jobs.run_to_table(jobs.first_seen(stream), f"{tmp_path}/out", f"{tmp_path}/state")
-    assert got.columns == ["scan_pos", "ts", "title", "body"]
-    assert sorted(r["scan_pos"] for r in got.collect()) == [1, 3, 5, 6, 7, 8]
+    with jobs.state_store(spark):
+        got = jobs.run_to_table(jobs.first_seen(stream), f"{tmp_path}/out", f"{tmp_path}/state")
+        assert got.columns == ["scan_pos", "ts", "title", "body"]
+        # 11 has the time and title of 4, which its content removed and so claims nothing
+        assert sorted(r["scan_pos"] for r in got.collect()) == [1, 3, 5, 6, 7, 8, 9, 11]
+        batch = A.first_seen(spark.createDataFrame([r for p in parts for r in p], ARTICLES)).filter("removed_by is null")
+        assert sorted(r["scan_pos"] for r in batch.collect()) == [1, 3, 5, 6, 7, 8, 9, 11]
+        # a restart from the checkpoint goes on with the same keys
+        late = spark.createDataFrame([(12, at(1, 20), "New", "Words that are new."), (13, at(1, 10), "Harbour reopens", "Yet other words.")], ARTICLES)
+        late.coalesce(1).write.parquet(f"{tmp_path}/in/part-99")
+        got = jobs.run_to_table(jobs.first_seen(stream), f"{tmp_path}/out", f"{tmp_path}/state")
+        assert sorted(r["scan_pos"] for r in got.collect()) == [1, 3, 5, 6, 7, 8, 9, 11, 12]
 
 
 def test_bars_close_and_late_rows_count(spark, tmp_path):

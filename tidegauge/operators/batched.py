@@ -116,12 +116,12 @@ def _folds_of(batch) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
     return [(f, x[fold == f], y[fold == f], w[fold == f]) for f in dict.fromkeys(fold)]
 
 
-def fit(rows: DataFrame, specs: list[Spec], y: Column | str, family: str = "gamma", weight: str | None = None, alpha: Callable[[float, float], float] = lambda lam, n: 2 * lam / n, passes: int = 80, tolerance: float = 1e-10) -> Fits:
+def fit(rows: DataFrame, specs: list[Spec], y: Column | str, family: str = "gamma", weight: str | None = None, alpha: Callable[[float, float], float] = lambda lam, n: 2 * lam / n, passes: int = 80, tolerance: float = 1e-10, weighted_scale: bool = True) -> Fits:
     """Every spec on the rows of every fold (column fold). Rows without a target take no part.
 
     An error if a feature is not a finite number. Features are standardised by
-    the (weighted) mean and population deviation of the fold's rows; one that
-    does not vary has no effect. Of features that repeat each other, the
+    the mean and population deviation of the fold's rows (weighted, unless
+    weighted_scale is off); one that does not vary has no effect. Of features that repeat each other, the
     coefficients of least norm are taken. A model whose loss does not settle is
     marked as not converged; all failing is an error.
     """
@@ -132,13 +132,16 @@ def fit(rows: DataFrame, specs: list[Spec], y: Column | str, family: str = "gamm
     data = rows.select("fold", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), y.cast("double").alias("y"), w.alias("w")).filter("y IS NOT NULL AND w > 0").persist()
     spark = rows.sparkSession
 
+    scaling = (lambda v: v) if weighted_scale else np.ones_like
+
     def moments(batch):
         for f, x, t, v in _folds_of(batch):
-            yield folds.index(f), np.concatenate([[len(t), v.sum(), v @ t, np.count_nonzero(~np.isfinite(x)) + np.count_nonzero(~np.isfinite(t))], v @ x])
+            u = scaling(v)
+            yield folds.index(f), np.concatenate([[len(t), v.sum(), v @ t, np.count_nonzero(~np.isfinite(x)) + np.count_nonzero(~np.isfinite(t)), u.sum()], u @ x])
 
     def spread(batch):
         for f, x, _, v in _folds_of(batch):
-            yield folds.index(f), v @ (x - means[folds.index(f)]) ** 2
+            yield folds.index(f), scaling(v) @ (x - means[folds.index(f)]) ** 2
 
     folds = sorted(r["fold"] for r in data.select("fold").distinct().collect())  # the study's folds
     if not folds:
@@ -148,8 +151,8 @@ def fit(rows: DataFrame, specs: list[Spec], y: Column | str, family: str = "gamm
     first = _summed(data, moments)
     if any(m[3] for m in first.values()):
         raise ValueError("a feature or target is not a finite number")
-    means = {k: m[4:] / m[1] for k, m in first.items()}
-    scales = {k: np.sqrt(s / first[k][1]) for k, s in _summed(data, spread).items()}
+    means = {k: m[5:] / m[4] for k, m in first.items()}
+    scales = {k: np.sqrt(s / first[k][4]) for k, s in _summed(data, spread).items()}
     scales = {k: np.where(s > 1e-12, s, np.inf) for k, s in scales.items()}
 
     jobs = [(s, k) for s in specs for k, f in enumerate(folds) if s.folds is None or f in s.folds]
@@ -201,3 +204,106 @@ def fit(rows: DataFrame, specs: list[Spec], y: Column | str, family: str = "gamm
         table.append((folds[k], s.model, float(s.lam), float(b[0] - (beta * means[k]).sum()), beta.tolist(), int(first[k][0]), float(loss), count, ok))
     out = spark.createDataFrame(table, PARAMETERS)
     return Fits(out, columns, tuple(files.fingerprint(out).first()))
+
+
+class WideFits:
+    """Parameters of fits on a wide vector column: a row a (fold, lam, block of coefficients)."""
+
+    def __init__(self, table: DataFrame, width: int):
+        self.table, self.width = table, width
+
+    def predict(self, rows: DataFrame, vector: str, chosen: DataFrame | None = None, eta: str = "eta") -> DataFrame:
+        """rows with lam and the linear predictor of every fit of their fold (or those of chosen: fold, lam)."""
+        table = self.table if chosen is None else self.table.join(chosen.select("fold", "lam"), ["fold", "lam"], "left_semi")
+        # a row a fit, of the width that the vector column has
+        out = rows.join(F.broadcast(table.select("fold", "lam", F.col("intercept").alias("_b"), F.col("beta").alias("_beta"))), "fold")
+        dot = F.aggregate(F.zip_with(vector, "_beta", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        return out.withColumn(eta, F.col("_b") + dot).drop("_b", "_beta")
+
+
+def fit_wide(rows: DataFrame, vector: str, y: Column | str, lambdas, family: str = "gamma", history: int = 10, passes: int = 400, tolerance: float = 1e-7) -> WideFits:
+    """One vector column of any width by limited-memory quasi-Newton steps, all folds and penalties in each pass.
+
+    A pass sums the losses and gradients (width numbers a fit); no matrix of
+    width^2 is formed, so thousands of columns are no matter. Objective,
+    standardisation and penalty are those of fit. An error if a vector has
+    another width or a value that is not finite, or if a fit does not converge.
+    """
+    measure, start = FAMILIES[family]
+    y = F.col(y) if isinstance(y, str) else y
+    spark = rows.sparkSession
+    data = rows.select("fold", F.col(vector).cast("array<double>").alias("x"), y.cast("double").alias("y"), F.lit(1.0).alias("w")).filter("y IS NOT NULL").persist()
+    shape = data.groupBy("fold").agg(F.min(F.size("x")).alias("a"), F.max(F.size("x")).alias("b"), F.count_if(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))).alias("bad")).collect()
+    folds = sorted(r["fold"] for r in shape)
+    if not folds or len({r[c] for r in shape for c in "ab"}) != 1 or any(r["bad"] for r in shape):
+        raise ValueError("no rows, vectors of several widths, or values that are not finite")
+    width = shape[0]["a"]
+    first = _summed(data, lambda batch: ((folds.index(f), np.concatenate([[len(t), t.sum()], x.sum(0)])) for f, x, t, _ in _folds_of(batch)))
+    means = {k: m[2:] / m[0] for k, m in first.items()}
+    spread = _summed(data, lambda batch: ((folds.index(f), ((x - means[folds.index(f)]) ** 2).sum(0)) for f, x, _, _ in _folds_of(batch)))
+    scales = {k: np.sqrt(v / first[k][0]) for k, v in spread.items()}
+    scales = {k: np.where(v > 1e-12, v, np.inf) for k, v in scales.items()}
+    fitted = spark.sparkContext.broadcast((means, scales))
+    jobs = [(k, float(lam)) for k in range(len(folds)) for lam in lambdas]
+    now = [np.concatenate([[start(first[k][1] / first[k][0])], np.zeros(width)]) for k, _ in jobs]
+    free = [np.append(0.0, np.full(width, 2 * lam / first[k][0])) for k, lam in jobs]
+    state: list[dict] = [{"at": None, "pairs": [], "done": False, "step": 1.0} for _ in jobs]
+
+    count = 0
+    while count < passes and not all(s["done"] for s in state):
+        count += 1
+        points = spark.sparkContext.broadcast({k: [(i, now[i]) for i, (j, _) in enumerate(jobs) if j == k and not state[i]["done"]] for k in range(len(folds))})
+
+        def step(batch):
+            m, v = fitted.value
+            for f, x, t, _ in _folds_of(batch):
+                k = folds.index(f)
+                mine = points.value[k]  # noqa: B023
+                if mine:
+                    z = (x - m[k]) / v[k]
+                    for i, eta in zip([i for i, _ in mine], (z @ np.array([b[1:] for _, b in mine]).T + np.array([b[0] for _, b in mine])).T, strict=True):
+                        loss, d, _ = measure(eta, t)
+                        yield i, np.concatenate([[loss.sum(), d.sum()], z.T @ d])
+
+        for i, sums in _summed(data, step).items():
+            s, n = state[i], first[jobs[i][0]][0]
+            loss, gradient = sums[0] / n + (free[i] * now[i] ** 2).sum() / 2, sums[1:] / n + free[i] * now[i]
+            if s["at"] is not None and not loss <= s["loss"] + 1e-4 * s["step"] * s["slope"] + 1e-13 * abs(s["loss"]):
+                s["step"] /= 2
+                if s["step"] < 1e-12:
+                    now[i], s["done"] = s["at"], np.abs(s["gradient"]).max() < 1e3 * tolerance
+                    if not s["done"]:
+                        raise ValueError("a wide fit did not converge")
+                else:
+                    now[i] = s["at"] + s["step"] * s["move"]
+                continue
+            if s["at"] is not None:
+                a, b = now[i] - s["at"], gradient - s["gradient"]
+                if a @ b > 1e-14 * (b @ b) ** 0.5 * (a @ a) ** 0.5:
+                    s["pairs"] = [*s["pairs"], (a, b)][-history:]
+            s |= {"at": now[i], "loss": loss, "gradient": gradient}
+            if np.abs(gradient).max() < tolerance:
+                s["done"] = True
+                continue
+            q, used = gradient.copy(), []
+            for a, b in reversed(s["pairs"]):
+                used.append((a @ q) / (a @ b))
+                q = q - used[-1] * b
+            if s["pairs"]:
+                a, b = s["pairs"][-1]
+                q = q * ((a @ b) / (b @ b))
+            else:
+                q = q / max(1.0, np.abs(gradient).sum())
+            for (a, b), c in zip(s["pairs"], reversed(used), strict=True):
+                q = q + (c - (b @ q) / (a @ b)) * a
+            s |= {"move": -q, "slope": -(gradient @ q), "step": 1.0}
+            now[i] = now[i] - q
+        points.unpersist()
+    data.unpersist()
+    if not all(s["done"] for s in state):
+        raise ValueError("a wide fit did not converge")
+    table = []
+    for i, (k, lam) in enumerate(jobs):
+        beta = now[i][1:] / scales[k]
+        table.append((folds[k], lam, float(now[i][0] - beta @ means[k]), beta.tolist(), count))
+    return WideFits(spark.createDataFrame(table, "fold string, lam double, intercept double, beta array<double>, passes int"), width)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.lexicon import DEFAULT, Lexicon
@@ -152,6 +152,69 @@ def main_study(bars: DataFrame, gaps: DataFrame, step: int) -> dict[str, DataFra
     return {"filled": filled, "returns": returns, "days": days, "reasons": B.reason_counts(days), "zero_volume": B.zero_volume_audit(filled, days), "gaps": B.gap_audit(filled, gaps)}
 
 
+WEEKDAYS = [f"weekday_{i}" for i in range(1, 7)]
+SIMPLE_NEWS = ["intensity", "negative_ratio", "max_negative", "no_news"]
+#: Lambdas of the ridge baselines, in sum form.
+RIDGE_LAMBDAS = tuple(10.0**k for k in range(-6, 5))
+
+
+def extended_baselines(rows: DataFrame) -> dict[str, DataFrame]:
+    """HAR with weekday dummies of the target day (Monday is the base), with four news scalars of the day before, and with both."""
+    x = H.weekday_dummies(rows)
+    specs = {"har": HAR, "har_weekday": [*HAR, *WEEKDAYS], "har_news": [*HAR, *SIMPLE_NEWS], "har_weekday_news": [*HAR, *WEEKDAYS, *SIMPLE_NEWS]}
+    fits = L.fit(_block(x, "core"), [L.Spec(k, tuple(c)) for k, c in specs.items()], "rv")
+    p = _frame(fits.predict(_block(x, "test")).withColumn("predicted_rv", F.exp("eta")))
+    return report(p, thresholds(rows), "har", _most(rows))
+
+
+def stress_study(rows: DataFrame, least: int = 60) -> dict[str, DataFrame]:
+    """A diagnostic fold by itself: an error with fewer validation targets than least; never pooled with other folds."""
+    if _block(rows, "validation").select("day").distinct().count() < least:
+        raise ValueError("the stress fold has too few validation targets")
+    out = report(baselines(rows), thresholds(rows), "har_gamma", 1)
+    return {k: out[k] for k in ("annotated", "per_fold", "worst")}
+
+
+def ridge_rows(days: DataFrame, news: DataFrame, folds: DataFrame, lags: int = 60, lookback: int = 30) -> DataFrame:
+    """Target days of each fold with x_reduced and x_full, all known the day before.
+
+    x_reduced: so many lags of log RV, slow and fast states of vectors and
+    sentiment, scalars. x_full: the lags, and states and scalars of every one of
+    the last lookback days. Scalars are imputed and scaled on core days; targets
+    without all lags or all news days are left out.
+    """
+    state = lambda c, d: F.coalesce(c, F.array_repeat(F.lit(0.0), d))
+    mood = H.slow_state(news.select(*KEYS, "day", "sentiment"), KEYS, "sentiment").select(*KEYS, "day", F.col("slow").alias("mood_slow"), F.col("fast").alias("mood_fast"))
+    states = news.join(mood, [*KEYS, "day"])
+    width = {c: states.agg(F.max(F.size(c))).first()[0] for c in ("slow", "fast", "mood_slow", "mood_fast")}
+    scalars = [*NEWS[:11]]
+    x = states.withColumns({c: F.col(c).cast("double") for c in scalars})
+    served = C.assign_blocks(x.withColumns({"news_day": F.col("day"), "day": F.date_add("day", 1)}), folds)
+    scaled = H.scaled_scalars(served, scalars, served.filter("block = 'core'"), ["fold"])
+    vector = F.concat(*(state(c, d) for c, d in width.items()), F.array(*(F.coalesce(F.col(c), F.lit(0.0)) for c in scalars)))
+    daily = staged(scaled.select("fold", *KEYS, F.col("news_day").alias("day"), vector.alias("v")).distinct(), "news-vectors")
+    w = Window.partitionBy("fold", *KEYS).orderBy("day").rowsBetween(-(lookback - 1), 0)
+    windows = daily.withColumn("_w", F.collect_list("v").over(w)).filter(F.size("_w") == lookback).select("fold", *KEYS, F.date_add("day", 1).alias("day"), F.col("v").alias("_last"), F.flatten("_w").alias("_w"))
+    wl = Window.partitionBy(*KEYS).orderBy("day").rowsBetween(-lags, -1)
+    lagged = days.withColumns({"_l": F.collect_list("log_rv").over(wl)}).filter("valid").filter(F.size("_l") > 0)
+    y = C.assign_blocks(C.har_lags(days).filter("valid and lag_1 is not null").join(lagged.select(*KEYS, "day", "_l"), [*KEYS, "day"]), folds)
+    y = y.filter(F.size("_l") == lags).join(windows, ["fold", *KEYS, "day"])
+    return staged(y.select("fold", "block", *KEYS, "day", "rv", "log_rv", F.concat("_l", "_last").alias("x_reduced"), F.concat("_l", "_w").alias("x_full")), "ridge-rows")
+
+
+def ridge_study(rows: DataFrame, cut: DataFrame, vectors: tuple[str, ...] = ("x_reduced", "x_full"), lambdas=RIDGE_LAMBDAS) -> dict[str, DataFrame]:
+    """Ridge fits of RV on wide rows; the penalty is chosen on validation, ties to the larger."""
+    out, picks = [], []
+    for v in vectors:
+        fits = L.fit_wide(_block(rows, "core"), v, "rv", lambdas)
+        seen = fits.predict(_block(rows, "validation"), v).withColumn("_p", F.exp("eta"))
+        chosen = staged(M.pick_in_order(seen.groupBy("fold", "lam").agg(F.avg(qlike("rv", "_p")).alias("loss")), ["fold"], "lam"), "ridge-chosen")
+        picks.append(chosen.withColumns({"model": F.lit(v), "width": F.lit(fits.width)}))
+        out.append(_frame(fits.predict(_block(rows, "test"), v, chosen).withColumn("predicted_rv", F.exp("eta")), v))
+    a = J.annotate(_union(out), cut)
+    return {"per_fold": J.metrics(a, ["fold", "model"]), "chosen": _union(picks), "annotated": a}
+
+
 def _most(rows: DataFrame) -> int:
     """Wins that a screen asks for: all folds but one."""
     return max(1, rows.select("fold").distinct().count() - 1)
@@ -181,7 +244,7 @@ def gates(rows: DataFrame, features: list[str], label: str, c: float = 0.1, leas
         raise ValueError("a class has too few rows")
     n = F.col("_hot") + F.col("_cold")
     weighted = rows.join(F.broadcast(sizes), "fold").withColumn("_w", n / (2 * F.when(F.col(label), F.col("_hot")).otherwise(F.col("_cold"))))  # a row a fold
-    return L.fit(weighted, [L.Spec("gate", tuple(features))], F.col(label).cast("double"), "logistic", "_w", alpha=lambda _, n: 1 / (c * n))
+    return L.fit(weighted, [L.Spec("gate", tuple(features))], F.col(label).cast("double"), "logistic", "_w", alpha=lambda _, n: 1 / (c * n), weighted_scale=False)
 
 
 def _probability(fits: L.Fits, rows: DataFrame, *more: str) -> DataFrame:

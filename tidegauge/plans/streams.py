@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.plans import tables as T
 from tidegauge.plans.tables import tidy, tidy_sql
+from tidegauge.sources.staging import shared_path
 from tidegauge.streaming import jobs
 
 QUERIES, SQL = {}, {}
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    """A new folder that executors share: under spark.checkpoint.dir, or of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +36,8 @@ def first_seen(spark, sf_dir):
     docs = jobs.read_stream(spark, f"{sf_dir}/document[s].parquet", T.read(spark, sf_dir, "documents"))
     plain = {c: F.regexp_replace(c, r"[^ -~\n]", "x") for c in ("title", "body")}  # as DuckDB has no NFKD
     articles = T.as_articles(docs).withColumns({"ts": F.date_trunc("day", "ts"), **plain})
-    kept = _finish(spark, jobs.first_seen(articles).select("ts"), "stream-first")
+    with jobs.state_store(spark):
+        kept = _finish(spark, jobs.first_seen(articles.select("scan_pos", "ts", "title", "body")).select("ts"), "stream-first")
     return tidy(kept.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("kept")))
 
 
@@ -55,8 +52,11 @@ _KEY = r"trim(regexp_replace(lower(regexp_replace(coalesce({}, ''), '[^ -~\n]',
 QUERIES |= {"k01_stream_bars": hourly, "k02_stream_first_seen": first_seen, "k05_stream_previous_day": joined}
 SQL |= {
     "k01_stream_bars": tidy_sql("SELECT series_id, ts, open, high, low, close, volume, CAST(trades AS BIGINT) AS trades FROM bars WHERE ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)", "open high low close volume", times="ts", ctes=T.BARS),
-    "k02_stream_first_seen": f"""WITH {T.ARTICLES}, keyed AS (SELECT doc_id, CAST(ts AS DATE) AS day, coalesce(nullif({_KEY.format('title')}, ''), '#' || doc_id) AS t, coalesce(nullif({_KEY.format('body')}, ''), '#' || doc_id) AS c FROM articles),
-once AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY day, t ORDER BY doc_id) = 1)
-SELECT CAST(day AS VARCHAR) AS day, count(DISTINCT c) AS kept FROM once GROUP BY day""",
+    "k02_stream_first_seen": f"""WITH RECURSIVE {T.ARTICLES}, keyed AS (SELECT doc_id, CAST(ts AS DATE) AS day, coalesce(nullif({_KEY.format('title')}, ''), '#' || doc_id) AS t, coalesce(nullif({_KEY.format('body')}, ''), '#' || doc_id) AS c FROM articles),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY doc_id) AS i FROM keyed),
+walk AS (SELECT DISTINCT day, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS titles, CAST([] AS VARCHAR[]) AS contents, CAST(0 AS BIGINT) AS kept FROM keyed
+UNION ALL SELECT day, i, CASE WHEN fresh THEN list_append(titles, t) ELSE titles END, CASE WHEN fresh THEN list_append(contents, c) ELSE contents END, kept + CASE WHEN fresh THEN 1 ELSE 0 END
+FROM (SELECT r.day, r.i, titles, contents, kept, t, c, NOT list_contains(titles, t) AND NOT list_contains(contents, c) AS fresh FROM walk w JOIN ranked r ON r.day = w.day AND r.i = w.i + 1) AS n)
+SELECT CAST(day AS VARCHAR) AS day, max(kept) AS kept FROM walk GROUP BY day""",
     "k05_stream_previous_day": "WITH d AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT a.series_id, CAST(a.day AS VARCHAR) AS day, a.n, b.n AS prior FROM d a LEFT JOIN d b ON b.series_id = a.series_id AND b.day = a.day - 1",
 }

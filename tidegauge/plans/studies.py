@@ -140,3 +140,28 @@ def dimension(s, d):
     news = _news(s, d)
     rows = P.study_rows(T.long_days(s, d, False), news, C.fold_table(s, T.FOLDS))
     return P.dimension_study(rows, news, T.FOLDS[0][0], (2, 4))
+
+
+@query("m02_extended_baselines")
+def extended(s, d):
+    """HAR alone, with weekdays, with news and with both."""
+    return P.extended_baselines(_rows(s, d))["per_fold"].select(*_SHOWN)
+
+
+#: A fold of its own: two years of core, half a year of validation and 180 days of test.
+STRESS = [("stress", "1992-01-01", "1993-12-31", "1994-01-01", "1994-06-30", "1994-07-01", "1994-12-27")]
+
+
+@query("m07_stress_fold")
+def stress(s, d):
+    days = C.market_state(T.long_days(s, d, False)).filter("valid and lag_1 is not null")
+    return P.stress_study(C.assign_blocks(days, C.fold_table(s, STRESS)), 20)["per_fold"].select(*_SHOWN)
+
+
+@query("m03_reduced_ridge")
+def ridge(s, d):
+    """The reduced ridge; 5 lags, as a tenth of the synthetic days has no value."""
+    folds = C.fold_table(s, T.FOLDS)
+    x = T.long_days(s, d, False)
+    rows = P.ridge_rows(x, _news(s, d), folds, 5)
+    return P.ridge_study(rows, P.thresholds(C.assign_blocks(x, folds)), ("x_reduced",), (1.0, 100.0, 10000.0))["per_fold"].select(*_SHOWN)

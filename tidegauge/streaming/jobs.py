@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidegauge.functions import text as X
@@ -30,19 +31,70 @@ def daily_counts(articles: DataFrame, late: str = "1 day") -> DataFrame:
     return out.select(F.to_date("w.start").alias("day"), "articles", "sources")
 
 
+class _FirstSeen(StatefulProcessor):
+    """The titles (with their times) and contents that the kept articles of a day have registered."""
+
+    def __init__(self, columns: list[str], order: str, late_ms: int):
+        self.columns, self.order, self.late_ms = columns, order, late_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.titles = handle.getMapState("titles", "k string", "seen boolean")
+        self.contents = handle.getMapState("contents", "k string", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        day = pd.concat(list(rows)).set_axis(self.columns, axis=1)  # computed columns arrive without their names
+        day = day.sort_values(self.order, kind="stable")
+        if not self.titles.exists() and not self.contents.exists():
+            self.handle.registerTimer(int(pd.Timestamp(key[0]).timestamp() * 1000) + 86_400_000 + self.late_ms)
+        kept = []
+        for title, content in day[["_title", "_content"]].itertuples(index=False):
+            fresh = not (title and self.titles.containsKey((title,))) and not (content and self.contents.containsKey((content,)))
+            kept.append(fresh)
+            if fresh:
+                if title:
+                    self.titles.updateValue((title,), (True,))
+                if content:
+                    self.contents.updateValue((content,), (True,))
+        yield day[kept].drop(columns=["_title", "_content", "_day"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """The watermark has passed the day: its keys are of no more use."""
+        self.titles.clear()
+        self.contents.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def first_seen(articles: DataFrame, order: str = "scan_pos", late: str = "1 day") -> DataFrame:
-    """Articles without those whose time and title, or day and content, came before within the watermark.
+    """Articles without those whose time and title, or else day and content, an earlier kept one has.
 
-    Two exact passes over keyed state, titles first: what a title removes leaves
-    no content behind. Titles and contents without a letter or digit match
-    nothing. `late` is a day at least, as contents are compared within a day.
+    The batch rule exactly, over micro-batches and restarts: a removed article
+    registers no keys. Within a batch articles go by order. Titles and contents
+    without a letter or digit match nothing. A day is a key of the state, which
+    holds its kept articles' keys as map entries, and is freed when the watermark
+    is `late` past its end. The stream needs the RocksDB state store (state_store()).
     """
-    own = F.concat(F.lit("#"), F.col(order).cast("string"))  # never a key: keys hold letters, digits and single spaces
     known = lambda c: F.nullif(X.duplicate_key(c), F.lit(""))
     content = F.when(known("body").isNotNull(), X.content_key(known("body").alias("body")))
-    keyed = articles.withColumns({"_day": F.to_date("ts"), "_title": F.coalesce(known("title"), own), "_content": F.coalesce(content, own)})
-    once = keyed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["ts", "_title"])
-    return once.dropDuplicatesWithinWatermark(["_day", "_content"]).drop("_day", "_title", "_content")
+    title = F.when(known("title").isNotNull(), F.sha2(F.concat_ws("|", F.unix_micros("ts").cast("string"), known("title")), 256))
+    keyed = articles.withColumns({"_day": F.to_date("ts").cast("string"), "_title": title, "_content": content}).withWatermark("ts", late)
+    late_ms = int(pd.Timedelta(late).total_seconds() * 1000)
+    return keyed.groupBy("_day").transformWithStateInPandas(_FirstSeen(keyed.columns, order, late_ms), articles.schema, "Append", "eventTime")
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB, which map states and timers need."""
+    key, name = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, name)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
 def slow_fast(days: DataFrame, dimension: int, alpha: float = 2 / 31) -> DataFrame:
