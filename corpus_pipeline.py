@@ -25,10 +25,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of line runs; a document that was nothing else goes."""
-    done = linededup.remove_repeated_runs(docs)
+    own = {c: f"_own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    done = linededup.remove_repeated_runs(docs.withColumnsRenamed(own))
     some = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))
     size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.filter(some).withColumn("n_chars", size).select(*docs.columns)
+    kept = done.filter(some).withColumn("n_chars", size).drop("n_lines", "n_removed")
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
