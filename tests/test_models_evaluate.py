@@ -24,65 +24,70 @@ def test_loss_identity(spark):
 
 
 def test_ensemble_and_incomplete_models(spark):
-    rows = [("f1", "m", s, D[i], 1.0, v) for s, vs in ((11, [1.0, 4.0]), (22, [3.0, 8.0])) for i, v in enumerate(vs)]
-    rows += [("f1", "part", 11, D[0], 1.0, 1.0)]
+    """Three seeds on two folds; a model that lacks one seed of one fold is left out."""
+    values = {5: (2.0, 5.0, 0.5), 6: (4.0, 5.0, 0.7), 7: (6.0, 11.0, 0.9)}
+    rows = [(f, m, s, D[i], 1.5, v) for m in ("whole", "part") for s, vs in values.items() for i, (f, v) in enumerate(zip(("f1", "f1", "f2"), vs, strict=True)) if (m, s, f) != ("part", 7, "f2")]
     df = spark.createDataFrame(rows, "fold string, model string, seed int, target_date date, true_rv double, predicted_rv double")
-    got = M.seed_ensemble(df, 1, 2).orderBy("target_date").collect()
-    assert [r["predicted_rv"] for r in got] == [2.0, 6.0] and got[1]["predicted_log_rv"] == pytest.approx(math.log(6))
+    got = M.seed_ensemble(df, 2, 3).orderBy("target_date").collect()
+    assert {r["model"] for r in got} == {"whole"}
+    assert [r["predicted_rv"] for r in got] == pytest.approx([4.0, 7.0, 0.7]) and got[1]["predicted_log_rv"] == pytest.approx(math.log(7))
 
 
 def test_common_support(spark):
-    df = preds(spark, [("f1", "a", D[1], 1.0, 1.0), ("f1", "a", D[2], 1.0, 1.0), ("f1", "b", D[2], 1.0, 1.0), ("f2", "b", D[2], 1.0, 1.0)])
-    assert {(r["fold"], r["target_date"]) for r in J.common_support(df).collect()} == {("f1", D[2])}
+    days = {"p": [("f1", 0), ("f1", 3), ("f2", 9)], "q": [("f1", 3), ("f2", 8), ("f2", 9)], "r": [("f1", 3), ("f1", 9), ("f2", 9)]}
+    df = preds(spark, [(f, m, D[i], 2.0, 1.0) for m, x in days.items() for f, i in x])
+    assert {(r["fold"], r["target_date"]) for r in J.common_support(df).collect()} == {("f1", D[3]), ("f2", D[9])}
 
 
 def test_spike_flags(spark):
-    df = preds(spark, [("f", "m", D[0], 1.0, 2.5), ("f", "m", D[1], 3.0, 1.5)])
-    t = spark.createDataFrame([("f", 2.0)], "fold string, threshold double")
-    got = J.annotate(df, t).orderBy("target_date").collect()
-    assert [r["is_spike"] for r in got] == [False, True] and [r["predicted_spike"] for r in got] == [True, False]
+    """Flags are strict: a value at the threshold is no spike."""
+    df = preds(spark, [("f", "m", D[i], t, p) for i, (t, p) in enumerate([(0.7, 0.6), (0.9, 0.4), (0.2, 0.8), (0.6, 0.9)])])
+    got = J.annotate(df, spark.createDataFrame([("f", 0.6)], "fold string, threshold double")).orderBy("target_date").collect()
+    assert [r["is_spike"] for r in got] == [True, True, False, False] and [r["predicted_spike"] for r in got] == [False, False, True, True]
 
 
 def test_routing_and_threshold(spark):
-    make = lambda v: spark.createDataFrame([("f", D[i], t, x) for i, (t, x) in enumerate(zip([1.0, 4.0], v, strict=True))], "fold string, target_date date, true_rv double, predicted_rv double")
-    p = spark.createDataFrame([("f", D[0], 0.1), ("f", D[1], 0.9)], "fold string, target_date date, p double")
-    out = M.route(make([1.0, 1.0]), make([2.0, 2.0]), p, 0.5).orderBy("target_date").collect()
-    assert [r["predicted_rv"] for r in out] == pytest.approx([1.0, 2.0])
-    off = M.route(make([1.0, 1.0]), make([2.0, 2.0]), p, 0.5, selected=False).collect()
-    assert {r["predicted_rv"] for r in off} == {1.0} and {r["spike_weight"] for r in off} == {0.0}
-    s = M.select_threshold(make([1.0, 1.0]), make([2.0, 2.0]), p).first()
-    assert s["selected"] and s["threshold"] == 0.5
-
-
-def test_blend_takes_the_truth(spark):
-    a = spark.createDataFrame([("f", D[0], 2.0, 1.0), ("f", D[1], 3.0, 1.0)], "fold string, target_date date, true_rv double, predicted_rv double")
-    b = a.withColumn("predicted_rv", F.col("true_rv"))
+    truth, calm, hot, p = [2.0, 1.0, 6.0], [1.5, 1.2, 3.0], [4.0, 2.4, 5.0], [0.3, 0.55, 0.8]
+    make = lambda v: spark.createDataFrame([("f", D[i], t, x) for i, (t, x) in enumerate(zip(truth, v, strict=True))], "fold string, target_date date, true_rv double, predicted_rv double")
+    gate = spark.createDataFrame([("f", D[i], x) for i, x in enumerate(p)], "fold string, target_date date, p double")
+    values = lambda df: [r["predicted_rv"] for r in df.orderBy("target_date").collect()]
+    assert values(M.route(make(calm), make(hot), gate, 0.5)) == pytest.approx([1.5, 2.4, 5.0])
+    assert values(M.route(make(calm), make(hot), gate, soft=True)) == pytest.approx([a ** (1 - w) * b**w for a, b, w in zip(calm, hot, p, strict=True)])
+    assert values(M.route(make(calm), make(hot), gate, 0.5, selected=False)) == pytest.approx(calm)
+    s = M.select_threshold(make(calm), make(hot), gate).first()  # 0.4 and 0.5 route alike: the higher is taken
+    loss = lambda v: sum(t / x - math.log(t / x) - 1 for t, x in zip(truth, v, strict=True)) / 3
+    assert s["selected"] and s["threshold"] == 0.5 and s["loss"] == pytest.approx(loss([1.5, 2.4, 5.0])) and s["normal_loss"] == pytest.approx(loss(calm))
+
+
+def test_blend_between_two_forecasts(spark):
+    """The truth lies a quarter of the way from one forecast to the other, in logs."""
+    a = spark.createDataFrame([("f", D[i], x**0.75 * y**0.25, x) for i, (x, y) in enumerate([(1.2, 4.1), (0.3, 0.9), (7.0, 2.0)])], "fold string, target_date date, true_rv double, predicted_rv double")
+    b = spark.createDataFrame([("f", D[i], x**0.75 * y**0.25, y) for i, (x, y) in enumerate([(1.2, 4.1), (0.3, 0.9), (7.0, 2.0)])], a.schema)
     chosen = M.select_blend(a, b)
-    assert chosen.first()["alpha"] == 1.0
-    assert [r["predicted_rv"] for r in M.blend(a, b, chosen).orderBy("target_date").collect()] == pytest.approx([2.0, 3.0])
+    assert chosen.first()["alpha"] == 0.25 and chosen.first()["loss"] == pytest.approx(0, abs=1e-12)
+    assert all(r["predicted_rv"] == pytest.approx(r["true_rv"]) for r in M.blend(a, b, chosen).collect())
 
 
 def test_gamma_fit_is_the_qlike_optimum(spark):
-    x = np.arange(-2, 4, dtype=float)
-    rv = np.exp(0.15 * x) * np.array([1.1, 0.9, 1.2, 0.8, 1.05, 0.95])
-    df = spark.createDataFrame([(float(a), float(b), 0.0) for a, b in zip(x, rv, strict=True)], "x double, rv double, anchor double")
-    fit = M.fit_gamma(df, ["x"], offset="anchor", lam=0.01)
-    beta = np.zeros(2)
-    design = np.column_stack([np.ones(6), x])
-    for _ in range(100):  # Newton on mean loss + lambda / n * b^2
-        r = rv / np.exp(design @ beta)
-        grad = design.T @ (1 - r) / 6 + np.array([0, 2 * 0.01 / 6 * beta[1]])
-        hess = design.T @ (design * r[:, None]) / 6 + np.diag([0, 2 * 0.01 / 6])
-        beta -= np.linalg.solve(hess, grad)
+    """Against Newton steps on the mean loss plus lam / n * beta^2."""
+    lam, x = 0.6, np.linspace(-1.0, 1.4, 9)
+    rv = np.exp(0.3 - 0.5 * x) * (1 + 0.25 * np.sin(5 * x))
+    df = spark.createDataFrame([(float(a), float(b), 0.2) for a, b in zip(x, rv, strict=True)], "x double, rv double, anchor double")
+    fit = M.fit_gamma(df, ["x"], offset="anchor", lam=lam)
+    beta, n, design, penalty = np.zeros(2), len(x), np.column_stack([np.ones(9), x]), np.array([0, 2 * lam / 9])
+    for _ in range(100):
+        r = rv / np.exp(0.2 + design @ beta)
+        beta -= np.linalg.solve(design.T @ (design * r[:, None]) / n + np.diag(penalty), design.T @ (1 - r) / n + penalty * beta)
     assert fit.model.intercept == pytest.approx(beta[0], abs=1e-6) and fit.model.coefficients[0] == pytest.approx(beta[1], abs=1e-6)
 
 
 def test_useless_features_fall_back(spark):
-    rng = np.random.default_rng(42)
-    make = lambda n: spark.createDataFrame([(float(rng.normal()), 1.0, 0.0) for _ in range(n)], "x double, rv double, anchor_log_rv double")
-    probe = M.fit_probe(make(40), make(12), ["x"], lambdas=(0.0, 0.1))
+    """Where the anchor is exact no correction can gain."""
+    rows = [(math.sin(i * i), 2.5, math.log(2.5)) for i in range(83)]
+    make = lambda a, b: spark.createDataFrame(rows[a:b], "x double, rv double, anchor_log_rv double")
+    probe = M.fit_probe(make(0, 50), make(50, 68), ["x"], lambdas=(0.0, 0.4))
     assert probe.fit is None
-    assert {r["correction"] for r in probe.predict(make(10)).collect()} == {0.0}
+    assert {r["correction"] for r in probe.predict(make(68, 83)).collect()} == {0.0}
 
 
 def test_selection_is_an_ordered_scan(spark):
@@ -91,10 +96,10 @@ def test_selection_is_an_ordered_scan(spark):
 
 
 def test_before_after(spark):
-    a = spark.createDataFrame([("m", 0.4)], "model string, loss double")
-    b = spark.createDataFrame([("m", 0.3)], "model string, loss double")
-    r = J.before_after(a, b, ["model"], ["loss"]).first()
-    assert r["loss_delta"] == pytest.approx(-0.1) and r["loss_percent"] == pytest.approx(-25)
+    a = spark.createDataFrame([("m", 1.6), ("n", 0.5)], "model string, loss double")
+    b = spark.createDataFrame([("m", 2.0), ("n", 0.2)], "model string, loss double")
+    r = {x["model"]: x for x in J.before_after(a, b, ["model"], ["loss"]).collect()}
+    assert [(r[k]["loss_delta"], r[k]["loss_percent"]) for k in "mn"] == [pytest.approx((0.4, 25)), pytest.approx((-0.3, -60))]
     with pytest.raises(Exception, match="keys before and after"):
         J.before_after(a, b.withColumn("model", F.lit("x")), ["model"], ["loss"]).collect()
 
