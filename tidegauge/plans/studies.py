@@ -149,7 +149,7 @@ def extended(s, d):
 
 
 #: A fold of its own: two years of core, half a year of validation and 180 days of test.
-STRESS = [("stress", "1992-01-01", "1993-12-31", "1994-01-01", "1994-06-30", "1994-07-01", "1994-12-27")]
+STRESS = [("stress", "1995-01-01", "1996-12-31", "1997-01-01", "1997-06-30", "1997-07-01", "1997-12-27")]
 
 
 @query("m07_stress_fold")
