@@ -441,3 +441,51 @@ def test_items_shorter_than_a_window(spark):
 
 def test_entropy_of_nothing():
     assert math.isfinite(licenses.weights()[0]["license"])
+
+
+def test_licence_scores_are_cosines():
+    """Every score against dense vectors over all words, those that no template has included."""
+    rng = np.random.default_rng(5)
+    idf, rarest, vectors = licenses.weights()
+    words = [*sorted(idf), *(f"foreign{chr(97 + i)}" for i in range(26))]
+    place = {w: i for i, w in enumerate(words)}
+    dense = np.zeros((len(vectors), len(words)))
+    for i, (_, v) in enumerate(vectors):
+        dense[i, [place[w] for w in v]] = list(v.values())
+    weight = np.array([idf.get(w, rarest) for w in words])
+    match = licenses.Matcher()
+    for n in (1, 3, 10, 60, 400):
+        drawn = rng.choice(len(words), n)
+        x = np.bincount(drawn, minlength=len(words)) * weight
+        want = dense @ x / np.linalg.norm(x)
+        got = match.cosines(" ".join(words[i] for i in drawn))
+        assert all(abs(got.get(i, (0.0, 0))[0] - w) < 1e-12 for i, w in enumerate(want))
+
+
+def test_licence_norm_counts_foreign_words(spark):
+    header = "Licensed under the Apache License, Version 2.0"
+    foreign = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}q" for i in range(6400))
+    files = [("a/LICENSE", f"{foreign} {header}"), ("b/LICENSE", f"{foreign}. {header}. {foreign}"), ("c/x.py", "Copyright 2020 Somebody Else"), ("d/x.py", ""), ("d/x.py", header), (None, None), ("e/LICENSE", None)]
+    got = [(r["path"], r["license"], r["score"], r["origin"]) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()]
+    want = {("b/LICENSE", "Apache-2.0", 1.0, "own"), ("c/x.py", None, None, None), ("d/x.py", None, None, None), ("d/x.py", "Apache-2.0", 1.0, "own"), (None, None, None, None), ("e/LICENSE", None, None, None)}
+    assert len(got) == 7 and want <= set(got)
+    assert next(r for r in got if r[0] == "a/LICENSE")[1] is None
+
+
+def test_licences_inherited_by_a_hot_directory(spark):
+    """All files in one directory and its root, against a walk up the path."""
+    files = [("r/LICENSE", "Released under the MIT License."), *((f"r/a/b/f{i}.py", "code") for i in range(3000)), *((f"s{i}/f.py", "code") for i in range(500)), ("r/a/c/COPYING.md", "All rights reserved."), ("r/a/c/d/e.py", "x")]
+    got = {r["path"]: (r["license"], r["licensed_by"]) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert len(got) == len(files)
+    assert all(got[f"r/a/b/f{i}.py"] == ("MIT", "r/LICENSE") for i in range(3000))
+    assert all(got[f"s{i}/f.py"] == (None, None) for i in range(500)) and got["r/a/c/d/e.py"] == ("Proprietary", "r/a/c/COPYING.md")
+
+
+def test_full_licence_texts_as_templates(spark):
+    clauses = [f"clause {chr(97 + i)} grants licence holders right{chr(97 + i)} and duty{chr(97 + i)}" for i in range(20)]
+    full = {"House-1": ". ".join(clauses[:12]) + ". ", "House-2": ". ".join(clauses[8:]) + ". "}
+    files = [("a/LICENSE", "\n".join(clauses[:12])), ("b/LICENSE", "\n".join(clauses[8:])), ("b/c/x", "code")]
+    got = {r["path"]: r["license"] for r in licenses.scan(spark.createDataFrame(files, "path string, text string"), templates=full).collect()}
+    assert got == {"a/LICENSE": "House-1", "b/LICENSE": "House-2", "b/c/x": "House-2"}
+    with pytest.raises(ValueError, match="characters"):
+        licenses.weights({"long": "x" * 4_000_001})

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of words.
 SPACE = r"[\x20\x09-\x0D]"
@@ -48,5 +49,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_join(many: DataFrame, one: DataFrame, key: str, how: str = "left", shares: int = 1000) -> DataFrame:
+    """many joined to one (a row for each key), where keys with more than a share of many are dealt out.
+
+    many is a staged table. A key is hot above 1/shares of its rows, so that at
+    most `shares` keys are, whatever the size; only they are broadcast, and only
+    their rows of one are repeated, once for each share.
+    """
+    share = max(1, many.count() // shares)
+    hot = many.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("int").alias("_salts"))
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_salts", F.lit(1))).cast("int")
+    left = many.join(F.broadcast(hot), key, "left").withColumn("_salt", spread).drop("_salts")
+    right = one.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
