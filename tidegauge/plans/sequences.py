@@ -37,8 +37,8 @@ def _folds(folds) -> Column:
 
 def _days(articles: DataFrame, span, folds) -> DataFrame:
     """Days of every fold with states, scaled scalars and the length of what the semantic vector has of new."""
-    spined = K.states(G.on_spine(G.daily_news(articles, []), [], *span), [], K.Layout())
-    with_norms = spined.withColumns({"surprise": V.norm("semantic_fast"), "mood_surprise": V.norm("sentiment_fast")})
+    spined = staged(G.on_spine(G.daily_news(articles, []), [], *span), "news-spine")
+    with_norms = K.states(spined, [], K.Layout()).withColumns({"surprise": V.norm("semantic_fast"), "mood_surprise": V.norm("sentiment_fast")})
     return staged(K.news_scalars(with_norms, _folds(folds)), "news-days")
 
 

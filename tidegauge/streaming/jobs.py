@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
 
 from tidegauge.functions import text as X
 
@@ -97,41 +98,127 @@ def state_store(spark: SparkSession):
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
-def slow_fast(days: DataFrame, dimension: int, alpha: float = 2 / 31) -> DataFrame:
-    """(series_id, day, slow, fast) of a stream of closed days (series_id, day, vector or null), in order of day.
+class _SlowFast(StatefulProcessor):
+    """A series' slow vector, and its days that the watermark has not passed."""
 
-    The state of a series is its slow vector and the last day; a day that is not
-    later than it is left out.
-    """
+    def __init__(self, dimension: int, alpha: float):
+        self.dimension, self.alpha = dimension, alpha
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.slow = handle.getValueState("slow", "vector array<double>, started boolean, last string")
+        self.open = handle.getMapState("open", "day string", "vector array<double>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.slow.get()[2] if self.slow.exists() else ""
+        new = {}
+        for part in rows:
+            new.update(zip(part["day"].astype(str), part["vector"], strict=True))
+        for day, vector in new.items():
+            if day > last:
+                self.open.updateValue((day,), (None if vector is None else [float(x) for x in vector],))
+        self._wake(min((d for d in new if d > last), default=None))
+        return iter([])
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        slow, started, last = (np.array(state.get[0]), state.get[1], state.get[2]) if state.exists else (np.zeros(dimension), False, "")
-        out = []
-        for day, vector in pd.concat(batches).sort_values("day")[["day", "vector"]].itertuples(index=False):
-            if str(day) <= last:
-                continue
-            last, fast = str(day), np.zeros(dimension)
-            if vector is not None:
-                x = np.asarray(vector, float)
-                slow = (1 - alpha) * slow + alpha * x if started else x
+    def _wake(self, day: str | None) -> None:
+        """A series has one timer, at its earliest open day."""
+        if day is None:
+            return
+        at = int(pd.Timestamp(day).timestamp() * 1000)
+        for other in list(self.handle.listTimers()):
+            if other <= at:
+                return
+            self.handle.deleteTimer(other)
+        self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """The earliest day is closed: it and all others that the watermark has reached are folded in by date."""
+        reached = str(pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms").date())
+        days = sorted((k[0], v[0]) for k, v in self.open.iterator())
+        due = [x for x in days if x[0] <= reached]
+        self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
+        self._wake(days[len(due)][0] if len(due) < len(days) else None)
+        if not due:
+            return
+        vector, started, last = self.slow.get() if self.slow.exists() else ([0.0] * self.dimension, False, "")
+        slow, out = np.array(vector, float), []
+        for day, x in due:
+            last, fast = day, np.zeros(self.dimension)
+            if x is not None:
+                x = np.asarray(x, float)
+                slow = (1 - self.alpha) * slow + self.alpha * x if started else x
                 fast, started = x - slow, True
-            out.append((key[0], day, slow.tolist(), fast.tolist()))
-        state.update((slow.tolist(), started, last))
+            out.append((key[0], pd.Timestamp(day).date(), slow.tolist(), fast.tolist()))
+            self.open.removeKey((day,))
+        self.slow.update((slow.tolist(), bool(started), last))
         yield pd.DataFrame(out, columns=["series_id", "day", "slow", "fast"])
 
-    return days.groupBy("series_id").applyInPandasWithState(step, "series_id string, day date, slow array<double>, fast array<double>", "slow array<double>, started boolean, last string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def slow_fast(days: DataFrame, dimension: int, alpha: float = 2 / 31, late: str = "1 day") -> DataFrame:
+    """(series_id, day, slow, fast) of a stream of days (series_id, day, vector or null).
+
+    Days may come in any order up to `late` behind the newest: a day waits in the
+    state of its series until the watermark has reached it, and days are folded in
+    by date then, so that how the stream is cut into batches changes nothing. The
+    first vector starts the slow one; a day without a vector holds it and has fast
+    0; of rows that repeat an open day the last counts; a day behind the watermark
+    is left out. The days since the watermark stay in the state. The stream needs
+    the RocksDB state store (state_store()).
+    """
+    keyed = days.select("series_id", F.col("day").cast("string").alias("day"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.col("day").cast("timestamp").alias("_ts")).withWatermark("_ts", late)
+    return keyed.groupBy("series_id").transformWithStateInPandas(_SlowFast(dimension, alpha), "series_id string, day date, slow array<double>, fast array<double>", "Append", "eventTime")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after their watermark, over the batches whose progress the query still holds.
+class LateRows(StreamingQueryListener):
+    """Counts rows that came after their watermark, over every batch since it listens.
 
-    Each stateful operator counts what it drops, and what one drops never reaches
-    the next. An aggregation counts partial groups: late rows of one batch,
-    partition and group are one.
+    The progress that a query holds covers its last batches only; a listener sees
+    each. A batch is counted once, as the largest figure told of it. Each stateful
+    operator counts what it drops, and what one drops never reaches the next; an
+    aggregation counts partial groups.
     """
-    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
+
+    def __init__(self) -> None:
+        self.batches: dict[str, dict[int, int]] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def _end(self, run: str) -> threading.Event:
+        return self.ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._end(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        seen = self.batches.setdefault(str(p.runId), {})
+        seen[p.batchId] = max(seen.get(p.batchId, 0), sum(op.numRowsDroppedByWatermark for op in p.stateOperators))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(str(event.runId)).set()
+
+    def total(self, query: StreamingQuery, wait: float = 60) -> int:
+        """Late rows of a query; of one that has ended, only when its last event has come."""
+        run = str(query.runId)
+        if not query.isActive and not self._end(run).wait(wait):
+            raise TimeoutError("the query's last event has not come")
+        return sum(self.batches.get(run, {}).values())
+
+
+@contextmanager
+def late_rows(spark: SparkSession) -> Iterator[LateRows]:
+    """Listens to all streams that start inside."""
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+    finally:
+        spark.streams.removeListener(listener)
 
 
 def previous_day_join(targets: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
