@@ -80,9 +80,10 @@ def scaler(rows: DataFrame, keys: list[str], column: str = "token") -> DataFrame
 
 
 def scale(rows: DataFrame, fitted: DataFrame, keys: list[str], column: str = "token") -> DataFrame:
-    """rows with their elements scaled; a key that no scaler was fitted for has no rows."""
-    z = F.zip_with(F.zip_with(column, "mean", lambda x, m: x - m), "scale", lambda x, s: x / s)
-    return rows.join(fitted, keys).withColumn(column, z).drop("n", "mean", "scale")
+    """rows with their elements scaled; a key that no scaler was fitted for is an error."""
+    mean = F.coalesce("mean", F.raise_error(F.lit("a key has no scaler")).cast("array<double>"))
+    z = F.zip_with(F.zip_with(column, mean, lambda x, m: x - m), "scale", lambda x, s: x / s)
+    return rows.join(fitted, keys, "left").withColumn(column, z).drop("n", "mean", "scale")
 
 
 def token_matrix(days: DataFrame, keys: list[str], state: str, layout: Layout = Layout()) -> tuple[DataFrame, list[str]]:
