@@ -10,6 +10,8 @@ from tidegauge.operators import features as H
 from tidegauge.plans import tables as T
 from tidegauge.plans.tables import tidy, tidy_sql
 from tidegauge.sources import files
+from tidegauge.sources.arrays import read_json_array, write_json_array
+from tidegauge.sources.staging import shared_path
 
 QUERIES, SQL = {}, {}
 
@@ -42,6 +44,14 @@ def range_(s, d):
     return files.in_range(T.bars(s, d), "2024-01-10", "2024-01-15", "1 HOUR").select("series_id", "ts", "close")
 
 
+@query("a03_json_array", "SELECT doc_id, source, lang, CAST(n_chars AS BIGINT) AS n_chars, md5(text) AS digest FROM documents")
+def json_array(s, d):
+    docs = T.read(s, d, "documents")
+    path = shared_path(s, "json-array")
+    write_json_array(docs, path)
+    return read_json_array(s, path, docs.schema).select("doc_id", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 @query("a12_table_fingerprint")
 def fingerprint(s, d):
     return files.fingerprint(T.read(s, d, "orders"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.schemas import ARTICLES, BARS, refuse_forbidden
+from tidegauge.sources.arrays import read_json_array
 
 
 def bars_csv(spark: SparkSession, path: str, names: dict[str, str] | None = None, start: str | None = None, end: str | None = None, step: str = "5 minutes", series: str = "series") -> DataFrame:
@@ -33,11 +34,8 @@ def in_range(bars: DataFrame, start: str | None, end: str | None, step: str = "5
 
 
 def articles_json_array(spark: SparkSession, path: str, schema: T.StructType = ARTICLES) -> DataFrame:
-    """Articles of a top-level JSON array; an error if a file is none. One task a file, so convert once."""
-    bad = spark.read.text(path, wholetext=True).filter(~F.ltrim("value").startswith("[")).limit(1).count()
-    if bad:
-        raise ValueError("a file is not a JSON array")
-    return refuse_forbidden(spark.read.schema(schema).json(path, multiLine=True))
+    """Articles of top-level JSON arrays, many tasks a file; an error if a file is none."""
+    return refuse_forbidden(read_json_array(spark, path, schema))
 
 
 def articles_json_lines(spark: SparkSession, path: str, schema: T.StructType = ARTICLES) -> DataFrame:
