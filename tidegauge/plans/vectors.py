@@ -11,6 +11,8 @@ from tidegauge.operators import features as H
 from tidegauge.plans import tables as T
 from tidegauge.plans.tables import tidy, tidy_sql
 from tidegauge.sources import keyed as K
+from tidegauge.sources.staging import shared_path
+from tidegauge.sources.store import KeyedStore
 
 QUERIES, SQL = {}, {}
 
@@ -42,6 +44,16 @@ def upsert(s, d):
     return K.upsert(old, new, ["k"], "created").select("k", "v")
 
 
+@query("a09_keyed_store", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 200 WHEN vec_id % 2 = 0 THEN label + 100 ELSE label END AS label, len(embedding) AS dimension, round(list_sum(embedding::DOUBLE[]), 4) + 0.0 AS total FROM embeddings")
+def keyed_store(s, d):
+    e = T.read(s, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding", F.lit(0).alias("created"))
+    store = KeyedStore(s, shared_path(s, "vector-store"), e.schema, ["vec_id"], "created", 16)
+    for step, part in enumerate((e, e.filter("vec_id % 2 = 0"), e.filter("vec_id % 3 = 0"))):
+        store.upsert(part.withColumns({"label": F.col("label") + 100 * step, "created": F.lit(step)}))
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4)
+    return store.read().select("vec_id", "label", F.size("embedding").alias("dimension"), total.alias("total"))
+
+
 @query("a07_label_cache", "SELECT user_id AS cache_key, arg_max(event_type, event_id) AS label FROM events GROUP BY 1")
 def label_cache(s, d):
     e = T.read(s, d, "events").select(F.col("user_id").alias("cache_key"), F.col("event_type").alias("label"), F.col("event_id").alias("line"))
