@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidegauge.functions.lexicon import DEFAULT, Lexicon
+from tidegauge.functions.vectors import let
 
 #: Java's flags for what Python's regular expressions do by themselves: fold case and read \b and \s as Unicode.
 FLAGS = "(?iuU)"
@@ -157,6 +158,5 @@ def budgeted(title, body, budget: int, with_title: bool = True) -> Column:
 
 def chunks(body, budget: int) -> Column:
     """The body in pieces of budget words that don't overlap; one piece at least."""
-    w = words(body)
-    n = F.greatest(F.lit(1), F.ceil(F.size(w) / budget)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * budget + 1, F.lit(budget)), " "))
+    cut = lambda w, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * budget + 1, F.lit(budget)), " "))
+    return let(words(body), lambda w: cut(w, F.greatest(F.lit(1), F.ceil(F.size(w) / budget)).cast("int")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,6 +177,24 @@ def chunked(articles: DataFrame, budget: int) -> DataFrame:
     return articles.select("doc_id", F.posexplode(X.chunks("body", budget)).alias("chunk", "chunk_text"))
 
 
+def chunk_hook(generate: Callable[[str], Iterable[tuple]], schema: str) -> Callable[..., DataFrame]:
+    """A table function of a user's generator: for a text (null: empty) it yields rows of schema, in Arrow batches."""
+
+    class Chunks:
+        def eval(self, text: str):
+            yield from generate(text or "")
+
+    return F.udtf(Chunks, returnType=schema, useArrow=True)
+
+
+def generated(articles: DataFrame, generate: Callable[[str], Iterable[tuple]], schema: str, text: str = "body") -> DataFrame:
+    """articles with the rows that generate makes of each text; an article it makes none of has none.
+
+    A generator holds one text at a time; what it yields is streamed.
+    """
+    return articles.lateralJoin(chunk_hook(generate, schema)(F.col(text).outer()))
+
+
 def quality_report(articles: DataFrame, start, end, lexicon: Lexicon = DEFAULT, entities: bool = True) -> DataFrame:
     """One row: load counters, duplicates removed, largest source's share and length quantiles of what is kept."""
     kept = filtered(articles, start, end, lexicon, entities)

@@ -171,3 +171,21 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS = """vectors AS (SELECT vec_id, DATE '2024-01-01' + CAST(vec_id * 7 % 60 AS INTEGER) AS day, 'src' || (vec_id % 5) AS source, CAST(vec_id % 3 + 1 AS INTEGER) AS relevance, CAST(label AS VARCHAR) AS family, embedding AS semantic,
 [exp(embedding[1]::DOUBLE) / z, exp(embedding[2]::DOUBLE) / z, exp(embedding[3]::DOUBLE) / z] AS sentiment FROM (SELECT *, exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE) + exp(embedding[3]::DOUBLE) AS z FROM embeddings)),
 elems AS (SELECT vec_id, day, source, relevance, family, unnest(semantic)::DOUBLE AS x, generate_subscripts(semantic, 1) AS pos FROM vectors)"""
+
+
+def words_sql(x: str) -> str:
+    """The words of a text in DuckDB, between runs of Unicode's white space."""
+    return rf"list_filter(regexp_split_to_array(coalesce({x}, ''), '[\t-\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda w: w <> '')"
+
+
+def pieces_sql(budget: int) -> str:
+    """CTE pieces: (doc_id, chunk, chunk_text) of the whole documents."""
+    return f"""tokens AS (SELECT doc_id, {words_sql("text")} AS w FROM documents),
+pieces AS (SELECT doc_id, CAST(i AS BIGINT) AS chunk, array_to_string(w[i * {budget} + 1:(i + 1) * {budget}], ' ') AS chunk_text
+FROM (SELECT doc_id, w, unnest(range(greatest(1, CAST(ceil(len(w) / {budget}.0) AS BIGINT)))) AS i FROM tokens))"""
+
+
+def hashed_sql(text: str) -> str:
+    """The first eight elements of hash_encoder in DuckDB, before they are scaled to length 1."""
+    each = [f"(('0x' || substr(h, {i + 7}, 2) || substr(h, {i + 5}, 2) || substr(h, {i + 3}, 2) || substr(h, {i + 1}, 2))::UBIGINT / 2147483648.0 - 1)::DOUBLE" for i in range(0, 64, 8)]
+    return f"(SELECT [{', '.join(each)}] FROM (SELECT sha256('0:' || {text}) AS h))"

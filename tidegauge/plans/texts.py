@@ -131,9 +131,24 @@ def title_key(s, d):
     return _articles(s, d).select("doc_id", X.duplicate_key("title").alias("title_key"))
 
 
-@query("d16_chunks", tidy_sql("SELECT doc_id, CAST(greatest(1, ceil(len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) / 50.0)) AS BIGINT) AS chunks FROM plain", ctes=CLEAN))
-def chunk_counts(s, d):
-    return A.chunked(_articles(s, d), 50).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+@query("d16_chunks", f"WITH {T.pieces_sql(50)} SELECT * FROM pieces")
+def chunks(s, d):
+    return A.chunked(T.articles(s, d), 50)
+
+
+def _windows(text: str, size: int = 40, step: int = 30):
+    """Windows of size words that overlap; none for a text without words."""
+    words = text.split(" ")
+    for i, start in enumerate(range(0, max(len(words) - size, 0) + step, step) if text.strip(" ") else ()):
+        if start < len(words):
+            yield i, len(words[start : start + size]), " ".join(words[start : start + size])
+
+
+@query("l04_generated_windows", """SELECT doc_id, CAST(i AS BIGINT) AS part, CAST(len(p) AS BIGINT) AS n_words, md5(array_to_string(p, ' ')) AS digest FROM (SELECT doc_id, i, w[i * 30 + 1:i * 30 + 40] AS p FROM (
+SELECT doc_id, w, unnest(range(CAST(ceil((greatest(len(w) - 40, 0) + 30) / 30.0) AS BIGINT))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE trim(text, ' ') <> ''))) WHERE len(p) > 0""")
+def windows(s, d):
+    made = A.generated(T.articles(s, d), _windows, "part int, n_words int, window string")
+    return made.select("doc_id", "part", "n_words", F.md5("window").alias("digest"))
 
 
 @query("d17_length_audit", tidy_sql("SELECT lang, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, quantile_cont(n, 0.99) AS p99, count(*) FILTER (WHERE n > 512)::DOUBLE / count(*) AS over FROM (SELECT lang, len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) AS n FROM plain) GROUP BY 1", "p50 p90 p99 over", ctes=CLEAN).replace("AS over", 'AS "over"').replace("round(over, 6)", 'round("over", 6)'))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.functions import vectors as V
+from tidegauge.operators import articles as A
 from tidegauge.operators import daily as G
 from tidegauge.operators import embed as E
 from tidegauge.operators import features as H
 from tidegauge.plans import tables as T
 from tidegauge.plans.tables import tidy, tidy_sql
+from tidegauge.schemas import VECTORS
 from tidegauge.sources import keyed as K
 from tidegauge.sources.staging import shared_path
 from tidegauge.sources.store import KeyedStore
@@ -60,24 +62,46 @@ def label_cache(s, d):
     return K.latest(e, ["cache_key"], "line").select("cache_key", "label")
 
 
-@query("f01_encode_misses")
+def _outline(v) -> tuple:
+    """What rounding can't change: the signs of the elements as bits, and which is largest."""
+    bits = F.aggregate(F.transform(v, lambda x, i: F.when(x > 0, F.pow(F.lit(2), i)).otherwise(0)), F.lit(0.0), lambda a, x: a + x)
+    return bits.cast("long").alias("signs"), F.array_position(v, F.array_max(v)).alias("largest"), F.size(v).alias("dimension"), (F.abs(V.norm(v) - 1) < 1e-5).alias("unit")
+
+
+_OUTLINE = "CAST(list_sum(list_transform(v, lambda x, i: CASE WHEN x > 0 THEN 2 ** (i - 1) ELSE 0 END)) AS BIGINT) AS signs, CAST(list_position(v, list_max(v)) AS BIGINT) AS largest, CAST(len(v) AS BIGINT) AS dimension, true AS unit"
+
+
+@query("f01_encode_misses", f"SELECT doc_id, text IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 2 = 0) AS hit, {_OUTLINE} FROM (SELECT doc_id, coalesce(text, '') AS text, {T.hashed_sql('text')} AS v FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))")
 def encode(s, d):
     docs = T.read(s, d, "documents").select("doc_id", "text")
     asked = E.requests(docs, "hash", "content", F.coalesce("text", F.lit("")))
-    store = s.createDataFrame([], "content_hash string, model string, representation string, dimension int, vector array<float>")
-    out, _ = E.embed(asked, store, E.hash_encoder(16), 16)
-    return out.select("doc_id", F.size("vector").alias("dimension"), V.norm("vector").alias("length"))
+    store = KeyedStore(s, shared_path(s, "vectors"), VECTORS, K.VECTOR_KEY, "created", 16)
+    _, first = E.embed(asked.filter("doc_id % 2 = 0"), store.read(), E.hash_encoder(8), 8)
+    store.upsert(first)
+    stored = store.read()
+    out, _ = E.embed(asked, stored, E.hash_encoder(8), 8)
+    marked = out.join(stored.select(*K.VECTOR_KEY, F.lit(True).alias("hit")), K.VECTOR_KEY, "left")
+    return marked.select("doc_id", F.coalesce("hit", F.lit(False)).alias("hit"), *_outline(F.col("vector")))
 
 
-@query("f04_representations", "SELECT representation, count(*) AS n FROM documents CROSS JOIN (VALUES ('title'), ('title_lead'), ('content')) r(representation) GROUP BY 1")
+_BUDGETED = f"""head AS (SELECT doc_id, {T.words_sql("text")} AS w, ({T.words_sql("'Title: ' || coalesce(title, '') || ' Content:'")})[1:62] AS h, coalesce(title, '') AS title FROM (SELECT doc_id, text, substr(text, 1, 60) AS title FROM documents))"""
+
+
+@query("f04_representations", f"""WITH {_BUDGETED}, {T.pieces_sql(64)} SELECT doc_id, representation, md5(t) AS digest FROM (SELECT doc_id, 'title' AS representation, title AS t FROM head
+UNION ALL SELECT doc_id, 'title_lead', array_to_string(list_concat(h, w[1:62 - len(h)]), ' ') FROM head UNION ALL SELECT doc_id, 'content', array_to_string(w[1:62], ' ') FROM head
+UNION ALL SELECT doc_id, 'chunk', chunk_text FROM pieces)""")
 def representations(s, d):
-    return E.representations(T.articles(s, d), 64).groupBy("representation").agg(F.count("*").alias("n"))
+    a = T.articles(s, d)
+    three = E.representations(a, 64).select("doc_id", "representation", "text")
+    fourth = A.chunked(a, 64).select("doc_id", F.lit("chunk").alias("representation"), F.col("chunk_text").alias("text"))
+    return three.union(fourth).select("doc_id", "representation", F.md5("text").alias("digest"))
 
 
-@query("f03_chunk_mean")
+@query("f03_chunk_mean", f"""WITH {T.pieces_sql(200)}, coded AS (SELECT doc_id, chunk, {T.hashed_sql('chunk_text')} AS v FROM pieces),
+elements AS (SELECT doc_id, pos, avg(x) AS x FROM (SELECT doc_id, unnest(range(8)) AS pos, unnest(list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))) AS x FROM coded) GROUP BY 1, 2)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_OUTLINE} FROM (SELECT doc_id, list(x ORDER BY pos) AS v FROM elements GROUP BY 1)""")
 def chunk_mean(s, d):
-    a = T.articles(s, d)
-    return E.chunk_mean(a, E.hash_encoder(8), 8, 200).select("doc_id", V.norm("vector").alias("length"))
+    return E.chunk_mean(T.articles(s, d), E.hash_encoder(8), 8, 200).select("doc_id", *_outline(F.col("vector")))
 
 
 _MEAN = "SELECT day, pos, sum(w * x) / sum(w) AS m FROM e GROUP BY 1, 2"
