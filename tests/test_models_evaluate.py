@@ -81,6 +81,20 @@ def test_gamma_fit_is_the_qlike_optimum(spark):
     assert fit.model.intercept == pytest.approx(beta[0], abs=1e-6) and fit.model.coefficients[0] == pytest.approx(beta[1], abs=1e-6)
 
 
+def test_gamma_fit_settles_on_features_that_vary_little(spark):
+    """Means of many orders: raw coefficients differ by rounding at every step."""
+    r = np.random.default_rng(5)
+    x = 250 + np.column_stack([r.normal(0, s, 400) for s in (0.02, 0.009, 0.005)])
+    rv = np.exp(2.0 + (x - 250) @ [0.5, -0.2, 0.9]) * r.gamma(40, 1 / 40, 400)
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, rv, strict=True)], "a double, b double, c double, rv double")
+    got = M.fit_gamma(df, ["a", "b", "c"]).predict(df).toPandas()
+    design, beta = np.column_stack([np.ones(400), (x - x.mean(0)) / x.std(0)]), np.array([2.0, 0, 0, 0])
+    for _ in range(100):
+        q = rv / np.exp(design @ beta)
+        beta -= np.linalg.solve(design.T @ (design * q[:, None]), design.T @ (1 - q))
+    assert np.abs(got["predicted_log_rv"].to_numpy() - design @ beta).max() < 1e-8
+
+
 def test_useless_features_fall_back(spark):
     """Where the anchor is exact no correction can gain."""
     rows = [(math.sin(i * i), 2.5, math.log(2.5)) for i in range(83)]

@@ -52,16 +52,25 @@ def fit_ols(core: DataFrame, features: list[str], y: str = "log_rv") -> OlsFit:
     return OlsFit(model, smear, model.summary.r2, features)
 
 
+@dataclass
+class Linear:
+    """A linear predictor in units of the raw features."""
+
+    intercept: float
+    coefficients: list[float]
+
+
 @dataclass
 class GammaFit:
-    model: object
+    model: Linear
     features: list[str]
     offset: str | None = None
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        out = self.model.transform(_assembled(rows, self.features))
-        log = F.ln("_p") + (F.col(self.offset) if self.offset else F.lit(0.0))
-        return out.withColumn("predicted_log_rv", log).withColumn("predicted_rv", F.exp("predicted_log_rv")).drop("_features", "_p")
+        log = F.col(self.offset) if self.offset else F.lit(0.0)
+        for c, b in zip(self.features, self.model.coefficients, strict=True):
+            log = log + F.col(c) * b
+        return rows.dropna(subset=self.features).withColumn("predicted_log_rv", log + self.model.intercept).withColumn("predicted_rv", F.exp("predicted_log_rv"))
 
 
 def fit_gamma(core: DataFrame, features: list[str], y: str = "rv", offset: str | None = None, lam: float = 0.0, weight: str | None = None, iterations: int = 100) -> GammaFit:
@@ -70,15 +79,27 @@ def fit_gamma(core: DataFrame, features: list[str], y: str = "rv", offset: str |
     With offset (a log anchor) the target is y / exp(anchor). lam is the sum-form
     penalty lam * |beta|^2; the intercept is free. An error where it doesn't
     converge.
+
+    Features are centred and put in units of the least of their deviations, which
+    changes neither the optimum nor the penalty's form: raw features that vary
+    little around a large mean move the coefficients by rounding alone, step after step.
     """
     target = F.col(y) / F.exp(F.col(offset)) if offset else F.col(y)
-    train = _assembled(core.withColumn("_y", target), features).select("_features", "_y", *([weight] if weight else []))
-    n = train.count() if lam else 1
-    glr = GeneralizedLinearRegression(family="gamma", link="log", featuresCol="_features", labelCol="_y", predictionCol="_p", tol=1e-12, maxIter=iterations, regParam=2 * lam / n)
-    model = (glr.setWeightCol(weight) if weight else glr).fit(train)
-    if model.summary.numIterations >= iterations:
-        raise ValueError("the Gamma fit did not converge")
-    return GammaFit(model, features, offset)
+    kept = core.withColumn("_y", target).dropna(subset=features).select(*features, "_y", *([weight] if weight else [])).persist()
+    try:
+        moments = kept.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(features)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features))).first()
+        means = [moments[f"m{i}"] for i in range(len(features))]
+        unit = min((s for i, m in enumerate(means) if m is not None and (s := moments[f"s{i}"]) > 1e-12 * max(1, abs(m))), default=1.0)
+        scaled = kept.select(*(((F.col(c) - m) / unit).alias(f"_x{i}") for i, (c, m) in enumerate(zip(features, means, strict=True))), "_y", *([F.col(weight)] if weight else []))
+        train = _assembled(scaled, [f"_x{i}" for i in range(len(features))])
+        glr = GeneralizedLinearRegression(family="gamma", link="log", featuresCol="_features", labelCol="_y", predictionCol="_p", tol=1e-10, maxIter=iterations, regParam=2 * lam / (moments["n"] or 1) / unit**2)
+        model = (glr.setWeightCol(weight) if weight else glr).fit(train)
+        if model.summary.numIterations >= iterations:
+            raise ValueError("the Gamma fit did not converge")
+    finally:
+        kept.unpersist()
+    beta = [float(b) / unit for b in model.coefficients]
+    return GammaFit(Linear(model.intercept - sum(b * m for b, m in zip(beta, means, strict=True)), beta), features, offset)
 
 
 def weighted_standardise(rows: DataFrame, core: DataFrame, columns: list[str], weight: str = "weight", floor: float = 1e-8) -> DataFrame:
