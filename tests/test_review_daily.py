@@ -25,6 +25,37 @@ def test_quotas(spark):
     assert (taken["retained"], taken["removed"], q["retained_quota"], q["removed_quota"]) == (29, 31, 23, 11)
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quotas_read_the_strata_once(spark):
+    cells = spark.createDataFrame([("retained", 6), ("removed", 9)], "decision string, n long").groupBy("decision").agg(F.sum("n").alias("population_n"))
+    q = R.choose_quotas(cells, 60)
+    assert plan(q).count("LogicalRDD") == 1
+    assert R.choose_quotas(cells.filter("decision = 'removed'"), 5).first().asDict() == {"retained_quota": 4, "removed_quota": 5, "total": 5}
+
+
+def test_scores_are_made_once(spark):
+    """A filter on what the rules decide repeats none of them."""
+    df = spark.createDataFrame([(1, "Bitcoin", "bitcoin <b>here</b>. Related stories x"), (2, "Ports", None)], "doc_id long, title string, body string").withColumn("ts", F.current_timestamp())
+    kept = A.scored(df, entities=False).filter("keep")
+    assert plan(kept).count("<[^>]+>") == 1
+    r = kept.first()
+    assert (r["doc_id"], r["body"], r["score"], r["evidence"], kept.count()) == (1, "bitcoin here .", 5, "title_primary", 1)
+
+
+def test_quota_sample(spark):
+    """The quota's rows of each stratum; those of small strata weigh 1."""
+    rows = [(i, "retained" if i % 3 else "removed", 2024, "e", "b") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, decision string, year int, evidence string, band string")
+    q = spark.createDataFrame([(4, 15, 14)], "retained_quota long, removed_quota long, total long")
+    sample = R.quota_sample(df, q)
+    assert plan(sample).count("LogicalRDD") == 2  # the sample and its population
+    got = sample.groupBy("decision").agg(F.count("*"), F.min("sampling_weight"), F.max("sampling_weight"), F.max("sample_rank")).collect()
+    assert sorted(map(tuple, got)) == [("removed", 10, 1.0, 1.0, 10), ("retained", 4, 5.0, 5.0, 4)]
+
+
 def test_policy(spark):
     """Shares are weighted, and the holdout takes no part."""
     rows = [("k1", "security_hack", "relevant", 4.0), ("k2", "security_hack", "irrelevant", 3.0), ("k3", "macro_liquidity", "relevant", 1.0), ("k4", "macro_liquidity", "irrelevant", 2.0), ("k5", "macro_liquidity", "relevant", 9.0), ("k6", "regulation_etf", "relevant", 1.0)]

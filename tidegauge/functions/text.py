@@ -46,7 +46,7 @@ def clean(text, lexicon: Lexicon = DEFAULT, entities: bool = True) -> Column:
     value = F.regexp_replace(value, "(?s)" + FLAGS + "(" + "|".join(lexicon.footers) + ").*$", "")
     value = F.regexp_replace(value, "<[^>]+>", " ")
     value = F.regexp_replace(value, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f�]+", " ")
-    return F.regexp_replace(F.regexp_replace(value, r"(?U)\s+", " "), r"(?U)^\s+|\s+$", "")
+    return F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
 
 
 def hits(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -58,35 +58,53 @@ def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
     return text.rlike(FLAGS + "(?:" + "|".join(patterns) + ")") if patterns else F.lit(False)
 
 
+def mentions(title, body, lexicon: Lexicon = DEFAULT) -> Column:
+    """struct of what relevance and evidence look at in a title and a cleaned body; each pattern is matched once."""
+    title, body = F.coalesce(_c(title), F.lit("")), F.coalesce(_c(body), F.lit(""))
+    lead = F.substring(body, 1, LEAD)
+    return F.struct(
+        hits(title, lexicon.primary).alias("in_title"),
+        hits(lead, lexicon.primary).alias("in_lead"),
+        any_of(F.substring(body, 1, SHORT_LEAD), lexicon.primary).alias("in_short_lead"),
+        any_of(title, lexicon.specific).alias("title_specific"),
+        any_of(lead, lexicon.specific).alias("lead_specific"),
+        any_of(F.concat_ws(" ", title, lead), lexicon.lookalike).alias("lookalike"),
+    )
+
+
+def relevance_of(m: Column) -> Column:
+    """struct(keep, score) of mentions."""
+    lookalike = m["lookalike"] & (m["in_title"] + m["in_lead"] == 0) & ~m["title_specific"] & ~m["lead_specific"]
+    points = F.when(m["in_title"] > 0, 3).otherwise(0) + F.when(m["in_short_lead"], 2).otherwise(0) + F.when(m["title_specific"] | m["lead_specific"], 2).otherwise(0) + F.when(m["in_title"] + m["in_lead"] >= 3, 1).otherwise(0)
+    rule = (m["in_title"] > 0) | m["title_specific"] | (m["in_lead"] >= 2) | m["lead_specific"]
+    score = F.when(lookalike, 0).otherwise(points)
+    return F.struct((rule & (score >= 2)).alias("keep"), score.cast("int").alias("score"))
+
+
+def evidence_of(m: Column) -> Column:
+    """The first class of evidence that holds, of mentions."""
+    return (
+        F.when(m["in_title"] > 0, "title_primary")
+        .when(m["title_specific"], "title_specific")
+        .when(m["lead_specific"], "content_specific")
+        .when(m["in_lead"] >= 2, "content_repeated")
+        .when(m["in_lead"] == 1, "content_single")
+        .otherwise("no_evidence")
+    )
+
+
 def relevance(title, body, lexicon: Lexicon = DEFAULT) -> Column:
     """struct(keep, score) of a title and a cleaned body.
 
     Title mention 3, mention among the first 500 characters 2, specific term 2,
     three mentions or more 1. A look-alike without other evidence scores 0.
     """
-    title, body = F.coalesce(_c(title), F.lit("")), F.coalesce(_c(body), F.lit(""))
-    lead = F.substring(body, 1, LEAD)
-    in_title, in_lead = hits(title, lexicon.primary), hits(lead, lexicon.primary)
-    title_specific, lead_specific = any_of(title, lexicon.specific), any_of(lead, lexicon.specific)
-    lookalike = any_of(F.concat_ws(" ", title, lead), lexicon.lookalike) & (in_title + in_lead == 0) & ~title_specific & ~lead_specific
-    points = F.when(in_title > 0, 3).otherwise(0) + F.when(any_of(F.substring(body, 1, SHORT_LEAD), lexicon.primary), 2).otherwise(0) + F.when(title_specific | lead_specific, 2).otherwise(0) + F.when(in_title + in_lead >= 3, 1).otherwise(0)
-    rule = (in_title > 0) | title_specific | (in_lead >= 2) | lead_specific
-    score = F.when(lookalike, 0).otherwise(points)
-    return F.struct((rule & (score >= 2)).alias("keep"), score.cast("int").alias("score"))
+    return let(mentions(title, body, lexicon), relevance_of)
 
 
 def evidence(title, body, lexicon: Lexicon = DEFAULT) -> Column:
     """The first class of evidence that holds."""
-    title, lead = F.coalesce(_c(title), F.lit("")), F.substring(F.coalesce(_c(body), F.lit("")), 1, LEAD)
-    n = hits(lead, lexicon.primary)
-    return (
-        F.when(any_of(title, lexicon.primary), "title_primary")
-        .when(any_of(title, lexicon.specific), "title_specific")
-        .when(any_of(lead, lexicon.specific), "content_specific")
-        .when(n >= 2, "content_repeated")
-        .when(n == 1, "content_single")
-        .otherwise("no_evidence")
-    )
+    return let(mentions(title, body, lexicon), evidence_of)
 
 
 def score_band(score) -> Column:

@@ -12,11 +12,24 @@ from tidegauge.functions import text as X
 from tidegauge.functions.lexicon import DEFAULT, Lexicon
 
 
+def _once(rows: DataFrame, made: Column) -> DataFrame:
+    """rows with the fields of the struct `made`, in place of columns of their names.
+
+    They are made by a generator of one row: the optimiser moves filters on its
+    output no further down, and writes its rules out no second time. Of plain columns, a
+    filter on `keep` repeats every regular expression for each of its uses.
+    """
+    each = rows.select("*", F.explode(F.array(made)).alias("_made"))
+    fields = each.schema["_made"].dataType.names
+    return each.select(*(c for c in rows.columns if c not in fields), *(F.col(f"_made.{c}").alias(c) for c in fields))
+
+
 def scored(articles: DataFrame, lexicon: Lexicon = DEFAULT, entities: bool = True) -> DataFrame:
     """Articles with body cleaned, and keep, score, evidence, band, family and day."""
-    cleaned = articles.withColumn("body", X.clean("body", lexicon, entities))
-    r = cleaned.withColumn("_r", X.relevance("title", "body", lexicon))
-    return r.select("*", F.col("_r.keep").alias("keep"), F.col("_r.score").alias("score"), X.evidence("title", "body", lexicon).alias("evidence"), X.score_band("_r.score").alias("band"), X.family("title", F.substring("body", 1, X.LEAD), lexicon).alias("family"), F.to_date("ts").alias("day")).drop("_r")
+    cleaned = _once(articles, F.struct(X.clean("body", lexicon, entities).alias("body")))
+    r = _once(cleaned, F.struct(X.mentions("title", "body", lexicon).alias("_m"), X.family("title", F.substring("body", 1, X.LEAD), lexicon).alias("family")))
+    r = r.withColumn("_r", X.relevance_of(F.col("_m")))
+    return r.select(*articles.columns, F.col("_r.keep").alias("keep"), F.col("_r.score").alias("score"), X.evidence_of(F.col("_m")).alias("evidence"), X.score_band("_r.score").alias("band"), "family", F.to_date("ts").alias("day"))
 
 
 def filtered(articles: DataFrame, start, end, lexicon: Lexicon = DEFAULT, entities: bool = True) -> DataFrame:
@@ -29,8 +42,9 @@ def load_counters(articles: DataFrame, start, end, lexicon: Lexicon = DEFAULT, e
     """One row: scanned, invalid_timestamp, outside_range, irrelevant, retained."""
     day = F.to_date("ts")
     inside = F.coalesce(day.between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.lit(False))
-    keep = X.relevance("title", X.clean("body", lexicon, entities), lexicon)["keep"]
-    return articles.select(F.col("ts").isNull().alias("bad"), inside.alias("inside"), keep.alias("keep")).agg(
+    cleaned = _once(articles, F.struct(X.clean("body", lexicon, entities).alias("body")))
+    found = _once(cleaned, F.struct(X.mentions("title", "body", lexicon).alias("_m")))
+    return found.select(F.col("ts").isNull().alias("bad"), inside.alias("inside"), X.relevance_of(F.col("_m"))["keep"].alias("keep")).agg(
         F.count("*").alias("scanned"),
         F.count_if("bad").alias("invalid_timestamp"),
         F.count_if(~F.col("bad") & ~F.col("inside")).alias("outside_range"),
@@ -58,7 +72,7 @@ def decided(articles: DataFrame, enabled: list[str], lexicon: Lexicon = DEFAULT,
     """Articles with keep, score, reason and recap; decide(title, lead, enabled) may replace the rule."""
     families = F.array(*(F.lit(x) for x in enabled)) if enabled else F.array().cast("array<string>")
     rule = decide or (lambda t, b, e: X.event_decision(t, b, e, lexicon, refined))
-    out = articles.drop("keep", "score", "reason", "recap", "relevance").withColumn("_d", rule(F.col("title"), F.col("body"), families))
+    out = articles.drop("keep", "score", "reason", "recap", "relevance").select("*", F.explode(F.array(rule(F.col("title"), F.col("body"), families))).alias("_d"))
     return out.select("*", *(F.col(f"_d.{c}").alias(c) for c in ("keep", "score", "reason", "recap"))).drop("_d").withColumn("relevance", F.when(F.col("keep"), F.greatest("score", F.lit(1))).otherwise(F.col("score")))
 
 

@@ -30,33 +30,38 @@ def choose_quotas(counts: DataFrame, target: int, least: int = 4, most: int = 10
     """One row (retained_quota, removed_quota, total): the grid cell nearest to the target.
 
     Ties by the balance of the two decisions, then the smaller quotas, then the
-    first cell of the grid. Each decision's totals are summed once per quota, so
-    the grid joins two short tables.
+    first cell of the grid. Each decision's totals are summed once per quota, for
+    both decisions in one pass over counts, and the grid is made of those few totals.
     """
     q = counts.sparkSession.range(least, most + 1).withColumnRenamed("id", "q")
-
-    def totals(decision: str, name: str) -> DataFrame:
-        mine = counts.filter(F.col("decision") == decision).groupBy("population_n").agg(F.count("*").alias("m"))
-        each = mine.crossJoin(F.broadcast(q))  # a row for each quota of the grid
-        return q.join(each.groupBy("q").agg(F.sum(F.col("m") * F.least("population_n", "q")).alias(name)), "q", "left").fillna(0, [name]).withColumnRenamed("q", f"{decision}_quota")
-
-    grid = totals("retained", "_a").crossJoin(totals("removed", "_b"))
+    mine = counts.groupBy("decision", "population_n").agg(F.count("*").alias("m"))
+    each = mine.crossJoin(F.broadcast(q))  # a row for each quota of the grid
+    taken = lambda d: F.sum(F.when(F.col("decision") == d, F.col("m") * F.least("population_n", "q")))
+    totals = q.join(each.groupBy("q").agg(taken("retained").alias("_a"), taken("removed").alias("_b")), "q", "left").fillna(0, ["_a", "_b"])
+    line = totals.agg(F.collect_list(F.struct("q", "_a", "_b")).alias("_l"))  # most - least + 1 entries
+    grid = line.select("_l", F.explode("_l").alias("_x")).select("_x", F.explode("_l").alias("_y"))
+    grid = grid.select(F.col("_x.q").alias("retained_quota"), F.col("_x._a").alias("_a"), F.col("_y.q").alias("removed_quota"), F.col("_y._b").alias("_b"))
     total = F.col("_a") + F.col("_b")
     order = [F.abs(total - target), F.abs(F.col("_a") - F.col("_b")), F.col("retained_quota") + F.col("removed_quota"), F.col("retained_quota"), F.col("removed_quota")]
     return grid.orderBy(*order).limit(1).select("retained_quota", "removed_quota", total.alias("total"))
 
 
-def quota_sample(rows: DataFrame, quotas: DataFrame, strata: list[str] = STRATA, key: str = "doc_id") -> DataFrame:
-    """The quota's rows of each stratum, with the sampling weight population / sample."""
+def quota_sample(rows: DataFrame, quotas: DataFrame, strata: list[str] = STRATA, key: str = "doc_id", counts: DataFrame | None = None) -> DataFrame:
+    """The quota's rows of each stratum, with the sampling weight population / sample.
+
+    counts: the population of rows, if it is known. The two quotas are fetched, so
+    that each partition keeps only as many rows of a stratum as the larger one.
+    """
     w = Window.partitionBy(*strata).orderBy(hash_rank(key), key)
-    q = F.when(F.col("decision") == "retained", F.col("retained_quota")).otherwise(F.col("removed_quota"))
-    picked = rows.withColumn("sample_rank", F.row_number().over(w)).crossJoin(F.broadcast(quotas.limit(1))).filter(F.col("sample_rank") <= q).drop("retained_quota", "removed_quota", "total")
-    return sampling_weights(picked, population(rows, strata), strata)
+    found = quotas.first()
+    a, b = (found["retained_quota"], found["removed_quota"]) if found else (0, 0)
+    picked = rows.withColumn("sample_rank", F.row_number().over(w)).filter(F.col("sample_rank") <= max(a, b)).filter(F.col("sample_rank") <= F.when(F.col("decision") == "retained", a).otherwise(b))
+    return sampling_weights(picked, population(rows, strata) if counts is None else counts, strata)
 
 
 def sampling_weights(sample: DataFrame, counts: DataFrame, strata: list[str] = STRATA) -> DataFrame:
-    n = sample.groupBy(*strata).agg(F.count("*").alias("sample_n"))
-    return sample.join(counts.join(n, strata), strata).withColumn("sampling_weight", F.col("population_n") / F.col("sample_n"))
+    n = F.count("*").over(Window.partitionBy(*strata))
+    return sample.withColumn("sample_n", n).join(counts, strata).withColumn("sampling_weight", F.col("population_n") / F.col("sample_n"))
 
 
 def carry_over(sample: DataFrame, old: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:
