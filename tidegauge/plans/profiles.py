@@ -396,8 +396,13 @@ def review_export(articles: DataFrame, k: int = 100) -> dict[str, DataFrame]:
 
 
 def expanded_review(articles: DataFrame, old: DataFrame, target: int, fields: list[str]) -> DataFrame:
-    """A quota sample near the target size, with weights, family hints and the labels of an older review."""
+    """A quota sample near the target size, with weights, family hints and the labels of an older review.
+
+    The articles are staged with the columns that they have, so that they are scored
+    once for strata, quotas and sample; leave out texts that the review doesn't need.
+    """
     x = articles.withColumns({"decision": F.when(F.col("keep"), "retained").otherwise("removed"), "year": F.year("ts")})
-    quotas = R.choose_quotas(R.population(x), target)
-    sample = R.carry_over(R.quota_sample(x, quotas), old, fields)
+    x = staged(x, "review-articles")
+    counts = staged(R.population(x), "review-strata")  # a row a stratum
+    sample = R.carry_over(R.quota_sample(x, R.choose_quotas(counts, target), counts=counts), old, fields)
     return sample.orderBy("decision", "year", "evidence", "band", "sample_rank")

@@ -58,7 +58,7 @@ def review(s, d):
 
 @query("e04_expanded_review")
 def expanded(s, d):
-    x = texts._scored(s, d)
+    x = texts._scored(s, d).drop("title", "body")
     old = T.read(s, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "relevant").otherwise("irrelevant").alias("label"))
     return P.expanded_review(x, old, 200, ["label"]).select("doc_id", "decision", "origin", "label", "sample_rank", "sampling_weight")
 
