@@ -1,3 +1,5 @@
+import re
+import unicodedata
 from datetime import datetime
 
 import pytest
@@ -82,6 +84,16 @@ def test_empty_keys_match_nothing_and_content_is_normalised(spark):
     assert removed(spark, []) == ([], [])
 
 
+def test_duplicate_keys_fold_every_character(spark):
+    """Against Python's NFKD; only texts with a character that becomes several go to Python."""
+    texts = ["Ça–va  ÉTÉ", "e\u0301\u0323té ﬁn… ½", "١٢ 𝔘 Ⅳ x\u00a0y", "ﬀ", "日本 ok", None, ""] + [f"a{chr(i)}b" for i in range(0x80, 0x10FFFF, 97) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode().lower()).strip(" ") for t in texts]
+    assert [r["k"] for r in df.select(X.duplicate_key("t").alias("k")).collect()] == want
+    plan = df.select(X.duplicate_key("t").alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_ascii(CASE WHEN" in plan  # a null for every other text
+
+
 def test_budget_and_chunks(spark):
     body = " ".join(f"w{i}" for i in range(100))
     got = run(spark, X.budgeted("t", "b", 20), t="Harbour notice", b=body)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import html
+import sys
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 from operator import add, or_
 
 from pyspark.sql import Column
@@ -146,14 +147,33 @@ def event_decision(title, lead, enabled: Column, lexicon: Lexicon = DEFAULT, ref
     return out.otherwise(answer(False, 0, F.concat(F.lit("no_enabled_event:"), kind)))
 
 
+@cache
+def _folds() -> tuple[str, str, str]:
+    """(from, to, several): characters whose NFKD has one ASCII character, and that; those with several."""
+    one, several = [], []
+    for i in [*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)]:
+        folded = unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()
+        if len(folded) == 1:
+            one.append((chr(i), folded))
+        elif folded:
+            several.append(chr(i))
+    return "".join(a for a, _ in one), "".join(b for _, b in one), "".join(several)
+
+
 def duplicate_key(text) -> Column:
     """NFKD, ASCII, lower case, runs of anything but letters and digits as one space.
 
-    Plain ASCII texts need no normalisation and stay in the JVM.
+    Characters are folded one by one, which gives the same ASCII, as NFKD moves
+    none of it. Python sees only texts with a character that becomes several (such as
+    an ellipsis or a ligature); a null stands for every other one.
     """
     value = F.coalesce(_c(text), F.lit(""))
-    plain = F.when(value.rlike(r"^[\x00-\x7F]*$"), value).otherwise(_ascii(value))
-    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
+    source, to, several = _folds()
+    letters = lambda v: F.regexp_replace(v, r"[^\x00-\x7F]+", "")
+    others = F.regexp_replace(value, r"[\x00-\x7F]+", "")
+    hard = F.translate(others, several, "") != others  # looked up by hash
+    folded = F.when(others == "", value).when(hard, _ascii(F.when(hard, value))).otherwise(letters(F.translate(value, source, to)))
+    return F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9]+", " "))
 
 
 def content_key(*columns) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions import text as X
 from tidegauge.functions.lexicon import DEFAULT, Lexicon
+from tidegauge.sources.staging import staged
 
 
 def _once(rows: DataFrame, made: Column) -> DataFrame:
@@ -82,8 +84,10 @@ def reason_counts(decided_: DataFrame) -> DataFrame:
 
 def _keyed(articles: DataFrame) -> DataFrame:
     """articles with their day and normalised title and content; empty ones are null and match nothing."""
-    known = lambda c: F.nullif(X.duplicate_key(c), F.lit(""))
-    return articles.withColumns({"_day": F.to_date("ts"), "_title": known("title"), "_content": F.when(known("body").isNotNull(), X.content_key(known("body").alias("body")))})
+    known = lambda c: F.nullif(c, F.lit(""))
+    keys = _once(articles, F.struct(X.duplicate_key("title").alias("_title"), X.duplicate_key("body").alias("_content")))
+    content = F.when(known("_content").isNotNull(), X.content_key(known("_content").alias("body")))
+    return keys.withColumns({"_day": F.to_date("ts"), "_title": known("_title"), "_content": content})
 
 
 def first_seen(articles: DataFrame, order: str = "scan_pos") -> DataFrame:
@@ -94,24 +98,34 @@ def first_seen(articles: DataFrame, order: str = "scan_pos") -> DataFrame:
     match nothing. A removed article registers no keys, so articles that share a
     key are walked in order, days in parallel; all others are kept at once.
     """
-    keyed = _keyed(articles).select(order, "ts", "_day", "_title", "_content")
+    keyed = staged(_keyed(articles).select(order, "ts", "_day", "_title", "_content"), "first-seen-keys")
     many = lambda *k: F.count("*").over(Window.partitionBy(*k)) > 1
     titled = keyed.filter("_title is not null").withColumn("_m", many("ts", "_title")).filter("_m").select(order)
     filled = keyed.filter("_content is not null").withColumn("_m", many("_day", "_content")).filter("_m").select(order)
     shared = keyed.join(titled.union(filled).distinct(), order, "left_semi")
-
-    def walk(day: pd.DataFrame) -> pd.DataFrame:
-        titles, contents, out = set(), set(), []
-        day = day.sort_values(order)
-        for ts, title, content in day[["ts", "_title", "_content"]].itertuples(index=False):
-            cause = "title" if title is not None and (ts, title) in titles else "content" if content is not None and content in contents else None
-            out.append(cause)
-            if cause is None:
-                titles.add((ts, title))
-                contents.add(content)
-        return pd.DataFrame({order: day[order], "removed_by": pd.Series(out, index=day.index, dtype=object)})
-
-    causes = shared.groupBy("_day").applyInPandas(walk, f"{order} long, removed_by string")
+    # keys travel as digests; a title's holds for its time only
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    short = shared.select("_day", order, digest(F.concat_ws("|", F.unix_micros("ts").cast("string"), F.lit(""), "_title")).alias("t"), F.col("_title").isNotNull().alias("titled"), F.unhex("_content").alias("c"))
+    kind = short.schema[order].dataType
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        day, titles, contents = None, set(), set()
+        for b in batches:
+            causes = []
+            for d, t, titled_, c in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if d != day:
+                    day, titles, contents = d, set(), set()
+                cause = "title" if titled_ and t in titles else "content" if c is not None and c in contents else None
+                causes.append(cause)
+                if cause is None:
+                    if titled_:
+                        titles.add(t)
+                    if c is not None:
+                        contents.add(c)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(causes, pa.string())], [order, "removed_by"])
+
+    # a task streams through its days in order and holds the kept keys of one day
+    causes = short.repartition("_day").sortWithinPartitions("_day", order).mapInArrow(walk, T.StructType([T.StructField(order, kind), T.StructField("removed_by", T.StringType())]))
     return articles.join(causes, order, "left")
 
 
