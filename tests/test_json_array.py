@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from tidegauge.sources import arrays, files
@@ -95,3 +96,16 @@ def test_articles_of_an_array(spark, blocks_of, tmp_path):
     got, want = files.articles_json_array(spark, str(tmp_path / "a.json")), files.articles_json_lines(spark, str(tmp_path / "b.jsonl"))
     assert got.schema == want.schema
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_few_texts_at_a_time_are_objects():
+    """A batch of long texts is taken in parts, and what was cut out waits for no thousand others."""
+    from tidegauge.sources import arrays
+
+    texts = ["[" * (i == 0) + "," * (i > 0) + '{"a": "' + "x" * 20_000 + '"' for i in range(950)] + ["]"]
+    n = len(texts)
+    whole = {"file": ["f"] * n, "block": [0] * n, "value": texts, "inside": [False] * n, "depth": [0] * n, "edge": [0] * n}
+    made = list(arrays._objects(iter([pa.RecordBatch.from_pydict(whole)]), False)) + list(arrays._objects(iter([pa.RecordBatch.from_pydict(whole)]), True))
+    assert max(b.nbytes for b in made) < 2_000_000 and max(b.num_rows for b in arrays._parts(iter(made))) <= arrays.PART
+    objects = [x for b in arrays._clean(b.select(["edge", "text"]) for b in made) for x in b.column(0).to_pylist()]
+    assert sorted(len(x) for x in objects) == [20_009] * 950

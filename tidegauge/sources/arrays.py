@@ -26,6 +26,9 @@ from tidegauge.sources.staging import staged
 #: A row a block is broadcast up to here (about 64 bytes each); beyond, blocks are joined by a shuffle.
 BROADCAST_BLOCKS = 100_000
 
+#: Rows of a batch that are Python objects at a time, and characters of objects that wait to be written.
+PART, WAITING = 100, 1_000_000
+
 _ESCAPE = re.compile(r"\\.", re.S)
 _LEAD = re.compile(r"[\s,]*")
 _NOTHING = re.compile(r"[\s,]*\]?\s*\Z")
@@ -45,8 +48,15 @@ def _fragments(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return raw.select(*where, F.monotonically_increasing_id().alias("at"), "value")
 
 
-def _rows(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches in parts of PART rows, so that few texts at a time are Python objects."""
     for b in batches:
+        for i in range(0, b.num_rows, PART):
+            yield b.slice(i, PART)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+    for b in _parts(batches):
         yield from zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("file", "block", "value", *more)), strict=True)
 
 
@@ -131,10 +141,12 @@ def _objects(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.Reco
     """The pieces at block edges (file, edge, block, text), or the objects between them (text)."""
     schema = pa.schema([("file", pa.string()), ("edge", pa.int64()), ("block", pa.int64()), ("text", pa.string())])
     out: list[dict] = []
-    key, held = None, []
+    key, held, waiting = None, [], 0
 
     def piece(closed: bool) -> dict:
+        nonlocal waiting
         text = "".join(held)
+        waiting += len(text)
         return {"file": key[0], "edge": edge, "block": key[1], "text": text + "}" if closed else text}
 
     for file, block, value, inside0, depth0, edge0 in _rows(batches, "inside", "depth", "edge"):
@@ -153,9 +165,9 @@ def _objects(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.Reco
             held = []
         else:
             held.append("}")  # of the object's inside, or of a string
-        if len(out) >= 1000:
+        if len(out) >= 1000 or waiting >= WAITING:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
-            out = []
+            out, waiting = [], 0
     if key and edges:
         out.append(piece(False))
     if out:
@@ -164,7 +176,7 @@ def _objects(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.Reco
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each piece without the brackets and commas before it; nothing for what holds no object."""
-    for b in batches:
+    for b in _parts(batches):
         out = []
         for edge, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if edge == 0:
@@ -210,7 +222,7 @@ def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = "["
-        for b in batches:
+        for b in _parts(batches):
             lines = []
             for text in b.column(0).to_pylist():
                 lines.append(before + text)
