@@ -6,9 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidegauge.llm import decontam, docstats, fm, graph, langid, licenses, linededup, neardup, packing, rules, shared, tokencount, tokens, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -367,6 +369,47 @@ def test_language_backoff(spark):
     assert kept.columns == d.columns and kept.count() == 80
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    """Steps that give texts to Python bound the bytes of a batch, however long the texts are; a user's own limit stays."""
+    d = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"), F.lit("en").alias("lang"))
+    none = langid.Table(np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
+    model = langid.Model([], np.zeros(0), none, none)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    steps = [
+        lambda: langid.accepted(d, model),
+        lambda: langid.predict(d, model),
+        lambda: langid.count_words(d.select("text", "lang")),
+        lambda: linededup.line_keys(d),
+        lambda: neardup.sketches(d, neardup.Params()),
+        lambda: neardup.member_sets(d, d.select(F.col("doc_id").alias("id")), neardup.Params()),
+        lambda: decontam.document_windows(d, np.zeros(8, bool), [5]),
+        lambda: packing.token_pieces(d, 2048, tokens.default_path(), 0),
+    ]
+    try:
+        for step in steps:
+            spark.conf.unset(shared.ARROW_BYTES)
+            step()
+            seen = [r["n"] for r in d.mapInArrow(sizes, "n long").collect()]
+            assert sum(seen) > 30e6 and max(seen) < 1.5 * shared.BATCH_BYTES
+        spark.conf.set(shared.ARROW_BYTES, "1m")
+        assert shared.in_small_batches(d) is d and spark.conf.get(shared.ARROW_BYTES) == "1m"
+    finally:
+        spark.conf.unset(shared.ARROW_BYTES)
+
+
+def test_lines_are_removed_once(spark):
+    """The pipeline's filter on what was removed doesn't cut each text a second time."""
+    text = "\n".join(f"line {i} of a passage that others hold as well" for i in range(20))
+    d = spark.createDataFrame([(1, f"{text}\nown words", 10), (2, f"{text}\nother words", 12), (3, text, 5), (4, None, None)], "doc_id long, text string, n_chars long")
+    done = corpus_pipeline.lines(spark, d, "")
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r["doc_id"]: r["text"] for r in done.collect()} == {1: f"{text}\nown words", 2: "other words", 4: None}
+
+
 # --- licences, benchmark ------------------------------------------------------------------------------
 
 

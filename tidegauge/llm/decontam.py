@@ -153,7 +153,7 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> D
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, kinds, strict=True)], ["doc_id", "h", "at", "slots"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, h long, at long, slots string")
+    return shared.in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, h long, at long, slots string")
 
 
 def slot_pairs(item: str, doc: str) -> list[tuple[tuple[str, str], str, str]]:

@@ -26,7 +26,7 @@ WORD = re.compile(r"[^\W\d_]+")  # letters, and a few number signs that real() t
 BREAK = re.compile(r"[\W\d_]")
 LONGEST = 5
 PIECE = 1 << 20  # characters of a long text that are looked at together
-TOKENS = 1 << 18  # word occurrences that are scored together
+TOKENS = 1 << 16  # word occurrences that are scored together
 CACHED = 100_000  # distinct words whose scores a task keeps
 SEED = 42  # of Spark's xxhash64
 
@@ -99,7 +99,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             for lang, words in by_lang.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(map(real, words), pa.string()), pa.array(words.values(), pa.int64())], ["lang", "word", "n"])
 
-    return texts.mapInArrow(run, "lang string, word string, n long").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return shared.in_small_batches(texts).mapInArrow(run, "lang string, word string, n long").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _table(counted: DataFrame, key: str, langs: list[str], smooth: float) -> Table:
@@ -242,7 +242,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(fold(doc_id) == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return shared.in_small_batches(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
@@ -260,4 +260,4 @@ def accepted(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame
             found = zip(*score([t.as_py() for t in batch.column(at).cast(pa.string())]), strict=True)
             yield batch.filter(pa.array([lang != "und" and sure >= min_score for lang, sure in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return shared.in_small_batches(docs).mapInArrow(run, docs.schema)

@@ -66,7 +66,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(h1, longs), pa.array(h2, longs), pa.array(n, longs)], ["id", "t1", "t2", "h1", "h2", "words"])
 
     rows = _keyed(docs.select("doc_id", "text"), "_").filter(F.col("text").isNotNull()).select("_id", "_t1", "_t2", F.col("text").cast("string").cast("binary"))
-    return rows.mapInArrow(run, "id long, t1 long, t2 long, h1 array<long>, h2 array<long>, words array<long>")
+    return shared.in_small_batches(rows).mapInArrow(run, "id long, t1 long, t2 long, h1 array<long>, h2 array<long>, words array<long>")
 
 
 def _ranked(keys: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -187,7 +187,8 @@ def remove_repeated_runs(docs: DataFrame, p: Params = Params()) -> DataFrame:
     # a merge join at every size: the plan, and what it moves, is the same for small and large corpora
     mark = _mark(docs)
     cuts = shared.staged(cuts.select(*(F.col(c).alias(f"{mark}{c}") for c in ("id", "t1", "t2", "spans"))), "cuts").hint("merge")
-    joined = _keyed(docs, mark).join(cuts, [f"{mark}{c}" for c in ("id", "t1", "t2")], "left")
-    done = joined.withColumn(f"{mark}out", _without(F.col("text").cast("string"), f"{mark}spans"))
+    joined = shared.in_small_batches(_keyed(docs, mark)).join(cuts, [f"{mark}{c}" for c in ("id", "t1", "t2")], "left")
+    # else a filter on its results would move below it and cut each text a second time
+    done = joined.withColumn(f"{mark}out", _without.asNondeterministic()(F.col("text").cast("string"), f"{mark}spans"))
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return done.select(*rest, *(f"{mark}out.{c}" for c in ("text", "n_lines", "n_removed")))

@@ -129,7 +129,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
             bands = iter(band_keys(np.array(full), p).tolist() if full else [])
             yield _batch([batch.column(0).to_pylist(), sizes, keys, [None if r is None else next(bands) for r in regs], [None if r is None else r.tobytes() for r in regs]], schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, registers binary")
+    return shared.in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, registers binary")
 
 
 def member_sets(docs: DataFrame, ids: DataFrame, p: Params) -> DataFrame:
@@ -142,7 +142,7 @@ def member_sets(docs: DataFrame, ids: DataFrame, p: Params) -> DataFrame:
             yield _batch([batch.column(0).to_pylist(), [shingles(t.as_py() or b"", p.words, hashes).tobytes() for t in batch.column(1)]], schema)
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(ids.select("id").distinct(), "id", "left_semi")
-    return wanted.mapInArrow(run, "id long, members binary")
+    return shared.in_small_batches(wanted).mapInArrow(run, "id long, members binary")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of words.
 SPACE = r"[\x20\x09-\x0D]"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 2 << 20  # of the rows that go to Python together
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,5 +66,19 @@ def dealt_join(many: DataFrame, one: DataFrame, key: str, how: str = "left", sha
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts go to Python and back in Arrow batches of about BATCH_BYTES; a user's own limit stays.
+
+    Spark's own is 64 MB, and a batch is held several times: by the engine on
+    both ways, by the worker as it came, as strings and as it leaves. Batches
+    are by bytes, so long texts come fewer at a time. The limit is the
+    session's, as Spark reads it when a plan runs.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_BYTES, None) is None:
+        conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
